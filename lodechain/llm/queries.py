@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodechain.llm import bpe, media
+from lodechain.llm import bpe, media, tokenfile, toxicity
 from lodechain.llm.common import table
 
 QUERIES: dict = {}
@@ -30,3 +30,17 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as MPEG audio and read back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     return media.digest_column(media.store_column(docs).drop("text")).drop("media")
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored for toxicity."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    return toxicity.classify(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written to flat files and read back."""
+    manifest = tokenfile.write(table(spark, sf_dir, "documents"), tokenfile.new_folder(spark, "tokens"))
+    return tokenfile.read(spark, manifest)
