@@ -1,7 +1,7 @@
 """Operator 2: byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 A pre-token is a doubly linked list of parts. Every adjacent pair that is a vocabulary entry sits in the bucket of
-its rank; a three-level bitmap of 64-bit words marks the buckets in use, so the next rank to merge is found by three
+its rank; a two-level bitmap of 256-bit words marks the buckets in use, so the next rank to merge is found by two
 find-first-set steps whatever the length of the pre-token. A bucket is a heap of list positions, because equal ranks
 merge from the left. When a merge changes a pair, its old bucket entry stays and is skipped when it comes up (the
 pair's current rank no longer agrees). The cost is O(n log n) for n bytes, also for pre-tokens of megabytes.
@@ -23,56 +23,12 @@ from pyspark.sql import types as T
 from lodechain.llm.common import append_columns
 
 DEFAULT_VOCAB = "byte_bpe_50k.tiktoken"
-#: Distinct short pre-tokens that a Python worker remembers before it starts anew.
-CACHE_ENTRIES = 400_000
-CACHE_BYTES_EACH = 64
+#: Distinct short pre-tokens and words that a Python worker remembers before it starts anew.
+CACHE_ENTRIES = 1_200_000
+CACHE_LENGTH = 40
 #: Pre-tokens that are held at once for one text.
 SLICE = 200_000
-
-
-class RankQueue:
-    """Priority queue over integer ranks below ``size``; each rank holds a heap of positions."""
-
-    __slots__ = ("buckets", "leaf", "middle", "top")
-
-    def __init__(self, size: int):
-        words = (size + 63) // 64
-        self.leaf = [0] * words
-        self.middle = [0] * ((words + 63) // 64)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            self.leaf[rank >> 6] |= 1 << (rank & 63)
-            self.middle[rank >> 12] |= 1 << ((rank >> 6) & 63)
-            self.top |= 1 << (rank >> 12)
-        else:
-            heappush(bucket, position)
-
-    def first(self) -> int:
-        """The lowest rank in use, or -1."""
-        if not self.top:
-            return -1
-        i = (self.top & -self.top).bit_length() - 1
-        w = self.middle[i]
-        j = i << 6 | (w & -w).bit_length() - 1
-        w = self.leaf[j]
-        return j << 6 | (w & -w).bit_length() - 1
-
-    def pop(self, rank: int) -> int:
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.leaf[rank >> 6] &= ~(1 << (rank & 63))
-            if not self.leaf[rank >> 6]:
-                self.middle[rank >> 12] &= ~(1 << ((rank >> 6) & 63))
-                if not self.middle[rank >> 12]:
-                    self.top &= ~(1 << (rank >> 12))
-        return position
+_MEETING = regex.compile(r"\s\s|[^\S \n]")
 
 
 class Codec:
@@ -85,7 +41,17 @@ class Codec:
         self.tokens = [b""] * self.size
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.cache = _Cache(self)
+        self.leaf = [0] * (self.size // 256 + 1)  # all zero between pieces
+        self.bits = [1 << i for i in range(max(256, len(self.leaf)))]
+        self.cut = pattern == public_tokenizers.PATTERN
+        self.memory = _Memory(self._packed)
+
+    def _packed(self, text: str) -> bytes:
+        pieces = self.pattern.findall(text)
+        if len(pieces) == 1:
+            ids = self.encode_piece(text.encode())
+            return pack(f"<{len(ids)}I", *ids)
+        return b"".join(map(self.memory.__getitem__, pieces))
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the piece itself if it is an entry, else merges by ascending rank, leftmost first."""
@@ -95,34 +61,53 @@ class Codec:
         n = len(piece)
         if n < 2:
             return [self.ranks[piece]] if n else []
-        get, after, before = self.ranks.get, list(range(1, n + 1)), list(range(-1, n - 1))
-        current = [-1] * n  # the rank of the pair that begins at a position; -1: none, or merged away
-        queue = RankQueue(self.size)
-        for i in range(n - 1):
-            r = get(piece[i : i + 2], -1)
-            if r >= 0:
-                current[i] = r
-                queue.push(r, i)
-        while (r := queue.first()) >= 0:
-            i = queue.pop(r)
+        get, leaf, bits, buckets, top = self.ranks.get, self.leaf, self.bits, {}, 0
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        current = [get(piece[i : i + 2]) for i in range(n)]  # the rank of the pair that begins at a position; None: no pair, or merged away
+        current[-1] = None
+        for i, r in enumerate(current):
+            if r is not None:
+                if r in buckets:
+                    buckets[r].append(i)
+                else:
+                    buckets[r] = [i]
+                    leaf[r >> 8] |= bits[r & 255]
+                    top |= bits[r >> 8]
+        while top:
+            j = (top & -top).bit_length() - 1
+            w = leaf[j]
+            r = j << 8 | (w & -w).bit_length() - 1
+            bucket = buckets[r]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[r]
+                leaf[j] = w = w & (w - 1)
+                if not w:
+                    top &= top - 1
             if current[i] != r:
                 continue  # stale
             right = after[i]
-            end = after[right]
-            after[i] = end
-            current[right] = -1
+            after[i] = end = after[right]
+            current[right] = None
+            left = before[i]
             if end < n:
                 before[end] = i
-            r = get(piece[i : after[end]], -1) if end < n else -1
-            current[i] = r
-            if r >= 0:
-                queue.push(r, i)
-            left = before[i]
-            if left >= 0:
-                r = get(piece[left:end], -1)
-                current[left] = r
-                if r >= 0:
-                    queue.push(r, left)
+                changed = ((i, get(piece[i : after[end]])), (left, get(piece[left:end]))) if left >= 0 else ((i, get(piece[i : after[end]])),)
+            elif left >= 0:
+                changed = ((i, None), (left, get(piece[left:end])))
+            else:
+                changed = ((i, None),)
+            for at, r in changed:
+                current[at] = r
+                if r is not None:
+                    if r in buckets:
+                        heappush(buckets[r], at)
+                    else:
+                        buckets[r] = [at]
+                        leaf[r >> 8] |= bits[r & 255]
+                        top |= bits[r >> 8]
         out, i = [], 0
         while i < n:
             out.append(self.ranks[piece[i : after[i]]])
@@ -130,11 +115,18 @@ class Codec:
         return out
 
     def encode(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian unsigned 32-bit integers."""
+        """Ids of a whole text as little-endian unsigned 32-bit integers.
+
+        Where no two white-space characters meet, the pattern's matches never cross the border before a space or
+        around a newline, so the text is cut there and each piece looked up; other texts go through the pattern whole.
+        """
+        if self.cut and "\0" not in text and not _MEETING.search(text):
+            words = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+            return b"".join(map(self.memory.__getitem__, words))
         if len(text) <= SLICE:
-            return b"".join(map(self.cache.__getitem__, self.pattern.findall(text)))
+            return b"".join(map(self.memory.__getitem__, self.pattern.findall(text)))
         found, parts = self.pattern.finditer(text), []
-        while part := b"".join(self.cache[m.group()] for m in islice(found, SLICE)):
+        while part := b"".join([self.memory[m.group()] for m in islice(found, SLICE)]):
             parts.append(part)
         return b"".join(parts)
 
@@ -142,18 +134,16 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, memoryview(ids).cast("I")))
 
 
-class _Cache(dict):
-    """Packed ids of short pre-tokens; emptied when full, so memory stays bounded."""
+class _Memory(dict):
+    """Packed ids of short strings; emptied when full, so memory stays bounded."""
 
-    def __init__(self, codec: Codec):
+    def __init__(self, make):
         super().__init__()
-        self.codec = codec
+        self.make = make
 
     def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode("utf-8", "surrogatepass")
-        ids = self.codec.encode_piece(raw)
-        packed = pack(f"<{len(ids)}I", *ids)
-        if len(raw) <= CACHE_BYTES_EACH:
+        packed = self.make(piece)
+        if len(piece) <= CACHE_LENGTH:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
             self[piece] = packed

@@ -62,11 +62,22 @@ class Model:
         return w, w != 0
 
 
-def fit(texts: list[str], toxic: list[int], smoothing: float = 1.0, selected: int = 8192, least: int = 8, penalty: float = 1e-3, steps: int = 400) -> Model:
+def _deviation(a: np.ndarray, b: np.ndarray, pos: float, neg: float) -> np.ndarray:
+    """Root of the likelihood-ratio statistic of presence against class."""
+    total = pos + neg
+    g = np.zeros(len(a))
+    for seen, size in ((a, pos), (b, neg)):
+        for cell, share in ((seen, a + b), (size - seen, total - a - b)):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                g += np.where(cell > 0, 2 * cell * np.log(cell * total / (share * size)), 0)
+    return np.sqrt(np.maximum(g, 0))
+
+
+def fit(texts: list[str], toxic: list[int], smoothing: float = 1.0, selected: int = 4096, significant: float = 4.0, penalty: float = 1e-6, steps: int = 400) -> Model:
     """Fit on a labelled sample.
 
-    Of the features in at least ``least`` texts the ``selected`` with the largest z-score of their log-count ratio are
-    kept. With no rows, or one class only, the model is the smoothed share of toxic rows.
+    Features whose presence differs between the classes by at least ``significant`` standard deviations (signed root
+    of the likelihood-ratio statistic) are kept, the ``selected`` strongest at most. With no rows, or one class only, the model is the smoothed share of toxic rows.
     """
     y = np.asarray(toxic, dtype=np.float64)
     pos = float(y.sum())
@@ -79,9 +90,13 @@ def fit(texts: list[str], toxic: list[int], smoothing: float = 1.0, selected: in
     for r, label in zip(rows, toxic, strict=True):
         (a if label else b)[r] += 1
     ratio = np.log((a + smoothing) / (pos + 2 * smoothing)) - np.log((b + smoothing) / (neg + 2 * smoothing))
-    z = np.where(a + b >= least, np.abs(ratio) / np.sqrt(1 / (a + smoothing) + 1 / (b + smoothing)), 0)
+    seen = np.flatnonzero(a + b)
+    z = np.zeros(1 << BITS)
+    z[seen] = _deviation(a[seen], b[seen], pos, neg)
     keep = np.sort(np.argsort(-z, kind="stable")[:selected])
-    keep = keep[z[keep] > 0]
+    keep = keep[z[keep] >= significant]
+    if not len(keep):
+        return Model(np.empty(0, np.int64), np.empty(0), prior)
     column = np.full(1 << BITS, -1, np.int32)
     column[keep] = np.arange(len(keep))
     rows = [c[c >= 0] for c in (column[r] for r in rows)]
@@ -95,7 +110,7 @@ def fit(texts: list[str], toxic: list[int], smoothing: float = 1.0, selected: in
         p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, value * w[cols], len(rows)) + bias, -40, 40)))
         g = np.append(np.bincount(cols, value * (p - y)[owner], len(keep)) / len(y) + penalty * w, (p - y).mean())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        step = 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, bias = w - step[:-1], bias - step[-1]
     return Model(keep, w * r / norm, float(bias))
 
