@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodechain.llm import bpe, media, tokenfile, toxicity
+from lodechain.llm import bpe, media, pii, secrets, tokenfile, toxicity
 from lodechain.llm.common import table
 
 QUERIES: dict = {}
@@ -44,3 +44,16 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids written to flat files and read back."""
     manifest = tokenfile.write(table(spark, sf_dir, "documents"), tokenfile.new_folder(spark, "tokens"))
     return tokenfile.read(spark, manifest)
+
+
+@query
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and disclosing words in every document."""
+    return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, each distinct text scanned once."""
+    found, _ = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), path="doc_id")
+    return secrets.digest(found, "doc_id")
