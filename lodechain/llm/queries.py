@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodechain.llm import bpe, media, pii, secrets, tokenfile, toxicity
+from lodechain.llm import bpe, media, mixing, pii, secrets, tokenfile, topk, toxicity
 from lodechain.llm.common import table
 
 QUERIES: dict = {}
@@ -57,3 +57,15 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document, each distinct text scanned once."""
     found, _ = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), path="doc_id")
     return secrets.digest(found, "doc_id")
+
+
+@query
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 largest inner products of every 50th vector with all others."""
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+@query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's places in a stream that mixes sources by tempered weights."""
+    return mixing.schedule(table(spark, sf_dir, "documents").select("doc_id", "source"))
