@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodechain.llm import bpe, media, mixing, pii, secrets, tokenfile, topk, toxicity
+from lodechain.llm import bpe, jaccard, media, mixing, pii, secrets, tokenfile, topk, toxicity
 from lodechain.llm.common import table
 
 QUERIES: dict = {}
@@ -69,3 +69,9 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's places in a stream that mixes sources by tempered weights."""
     return mixing.schedule(table(spark, sf_dir, "documents").select("doc_id", "source"))
+
+
+@query
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents."""
+    return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
