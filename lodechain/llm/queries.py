@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodechain.llm import bpe, jaccard, media, mixing, pii, secrets, tokenfile, topk, toxicity
+from lodechain.llm import bpe, jaccard, media, mixing, pii, quality, secrets, tokenfile, topk, toxicity
 from lodechain.llm.common import table
 
 QUERIES: dict = {}
@@ -75,3 +75,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents."""
     return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's perplexity under a model of the trusted ones, and whether it is kept."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality.classify(docs, table(spark, sf_dir, "labels"))
