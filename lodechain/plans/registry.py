@@ -16,3 +16,10 @@ def register(name: str, sql: str | None = None):
         return fn
 
     return add
+
+
+def _load() -> None:
+    from lodechain.plans import event_queries  # noqa: F401
+
+
+_load()
