@@ -40,39 +40,64 @@ LONGEST = 8
 VERIFY = 50.0
 #: Ids that may be broadcast.
 FEW = 2_000_000
-FLUSH = 6_000_000
+FLUSH = 4_000_000
 
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-class _Hashes(dict):
-    """64-bit hashes of words; emptied when full."""
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n - 1, base, np.uint64))])
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = xxhash.xxh64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = h
-        return h
 
+_BASE = 0x9E3779B97F4A7C15
+_BYTE = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 64, 256, np.uint64)
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_table: list[np.ndarray] = [_powers(_BASE, 1 << 17), _powers(pow(_BASE, -1, 1 << 64), 1 << 17)]
 
-_hashes = _Hashes()
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    return h ^ (h >> np.uint64(29))
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """64-bit hashes of the words of lower-cased bytes: differences of a running polynomial with random coefficients
+    for the bytes, shifted back to the word's start. Long texts are taken in blocks of whole words."""
+    b = np.frombuffer(raw, np.uint8)
+    edge = np.flatnonzero(np.diff(_SPACE[b], prepend=True, append=True))
+    starts, ends = edge[0::2], edge[1::2]
+    out, i = [], 0
+    while i < len(starts):
+        lo = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, lo + (1 << 17), "right")))
+        size = int(ends[j - 1] - lo)
+        if size <= 1 << 17:
+            power, back = _table
+        else:
+            power, back = _powers(_BASE, size), _powers(pow(_BASE, -1, 1 << 64), size)
+        total = np.zeros(size + 1, np.uint64)
+        np.cumsum(_BYTE[b[lo : ends[j - 1]]] * power[:size], out=total[1:])
+        at, to = starts[i:j] - lo, ends[i:j] - lo
+        out.append(_mixed((total[to] - total[at]) * back[at]))
+        i = j
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's five-word shingles (A-Z lower-cased; words are what stands between
     ASCII white space). Fewer words: the whole sequence as one. None: empty."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    a = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    a = word_hashes((text or "").encode("utf-8", "surrogatepass").lower())
+    if not len(a):
+        return a
     n = len(a) - WORDS + 1
-    with np.errstate(over="ignore"):
-        h = sum(a[j : n + j] * _STEP[j] for j in range(WORDS)) if n > 0 else np.array([(a * _STEP[: len(a)]).sum() + np.uint64(len(a))], np.uint64)
-        h = (h ^ (h >> np.uint64(32))) * _MIX
-    return np.unique(h ^ (h >> np.uint64(29)))
+    if n > 0:
+        h = a[:n] * _STEP[0]
+        for j in range(1, WORDS):
+            h += a[j : n + j] * _STEP[j]
+    else:
+        h = np.array([(a * _STEP[: len(a)]).sum() + np.uint64(len(a))], np.uint64)
+    return np.unique(_mixed(h))
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -200,7 +225,7 @@ def prefix(s: np.ndarray, bits: np.ndarray, fps: np.ndarray, powers: np.ndarray)
         power[hit] = powers[at[hit]]
     n = len(s)
     first = n - least_overlap(n) + 1
-    order = np.lexsort((s, power))[: first + LONGEST - 1]
+    order = np.argsort(power, kind="stable")[: first + LONGEST - 1]  # s ascends, so ties are in order of hash
     spot = fp[order] >> np.uint32(BITS_OFF)
     twice = (bits[spot >> 3] >> (7 - (spot & 7))) & 1 != 0
     cost = np.cumsum(np.where(twice, np.exp2(np.maximum(power[order], 1)), 0.0))
@@ -233,7 +258,7 @@ def _entries(rows: DataFrame, shared) -> DataFrame:
     return rows.select("k", "t").mapInArrow(run, "h long, k long, n int, level short, ell short")
 
 
-@lru_cache(maxsize=256)
+@lru_cache(maxsize=64)
 def _set_of(text: str) -> np.ndarray:
     return shingles(text)
 
