@@ -228,7 +228,7 @@ def prefix(s: np.ndarray, bits: np.ndarray, fps: np.ndarray, powers: np.ndarray)
     order = np.argsort(power, kind="stable")[: first + LONGEST - 1]  # s ascends, so ties are in order of hash
     spot = fp[order] >> np.uint32(BITS_OFF)
     twice = (bits[spot >> 3] >> (7 - (spot & 7))) & 1 != 0
-    cost = np.cumsum(np.where(twice, np.exp2(np.maximum(power[order], 1)), 0.0))
+    cost = np.cumsum(np.where(twice, np.exp2(np.maximum(power[order], 1).astype(np.float64)), 0.0))
     ells = np.arange(1, len(order) - first + 2)
     read = cost[first - 1 :]
     ell = int(np.argmin(read + VERIFY * read / ells)) + 1

@@ -82,3 +82,15 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's perplexity under a model of the trusted ones, and whether it is kept."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality.classify(docs, table(spark, sf_dir, "labels"))
+
+
+ORACLES["op10_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x)
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
