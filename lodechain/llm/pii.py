@@ -56,30 +56,29 @@ def _words(context: Column, offset: Column) -> Column:
 
 
 def occurrences(docs: DataFrame, window: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Words within ``window`` characters of a mention: (k, key, entity, term, start, end)."""
+    """Words within ``window`` characters of a mention: (row, k, key, entity, term, start, end)."""
     rows = base_spans(docs.select(F.xxhash64(doc_id).alias("k"), F.col(text).alias("t")), "t")
-    mentions = rows.where(F.size("spans") > 0).select("k", text_key(F.col("t")).alias("key"), "t", F.explode("spans").alias("s"))
+    # a column that is not deterministic keeps the optimizer from repeating the pattern searches in a pushed-down filter
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    mentions = rows.select("row", "k", text_key(F.col("t")).alias("key"), "t", F.explode("spans").alias("s"))
     at = F.greatest(F.col("s.start") - window, F.lit(0))
     near = mentions.select(
-        "k", "key", F.concat_ws(":", "s.kind", F.when(F.col("s.kind") == "email", F.lower("s.value")).otherwise(F.col("s.value"))).alias("entity"),
+        "row", "k", "key", F.concat_ws(":", "s.kind", F.when(F.col("s.kind") == "email", F.lower("s.value")).otherwise(F.col("s.value"))).alias("entity"),
         F.col("s.start").alias("ms"), F.col("s.end").alias("me"), at.alias("at"), F.col("t").substr(at + 1, F.col("s.start") - at).alias("left"), F.col("t").substr(F.col("s.end") + 1, F.lit(window)).alias("right"),
     )
     # a word cut by the window's border is no whole word: the first of the left side, the last of the right side
     near = near.withColumns({"left": F.when(F.col("at") > 0, F.regexp_replace("left", r"^\S+", "")).otherwise(F.col("left")), "full": F.length("left")}).withColumn("right", F.when(F.length("right") == window, F.regexp_replace("right", r"\S+$", "")).otherwise(F.col("right")))
     words = F.concat(_words(F.col("left"), F.col("at") + F.col("full") - F.length("left")), _words(F.col("right"), F.col("me")))
-    return near.withColumn("words", words).select("k", "key", "entity", F.explode("words").alias("w")).select("k", "key", "entity", "w.term", "w.start", "w.end")
+    return near.withColumn("words", words).select("row", "k", "key", "entity", F.explode("words").alias("w")).select("row", "k", "key", "entity", "w.term", "w.start", "w.end")
 
 
-def disclosures(docs: DataFrame, seen: DataFrame, support: int, least: float, text: str = "text", small: int = 200_000) -> DataFrame:
+def disclosures(docs: DataFrame, seen: DataFrame, support: int, least: float, text: str = "text") -> DataFrame:
     """(entity, term, disclosure) of the pairs at or above ``least``; counts are over all documents."""
     total = docs.count()
     each = seen.select("k", "key", "entity", "term").distinct()
     n_ct = cut(each.groupBy("entity", "term").count().where(F.col("count") >= support).withColumnRenamed("count", "n_ct"))
     n_c = each.select("k", "key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
-    terms = n_ct.select("term").distinct()
     in_docs = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))).alias("term"))
-    if n_ct.count() <= small:  # the candidates fit a broadcast: only they are counted
-        in_docs = in_docs.join(F.broadcast(terms), "term", "left_semi")
     n_t = in_docs.groupBy("term").agg(F.count("*").alias("n_t"))
     ratio = F.log(F.col("n_ct") * F.lit(float(total)) / (F.col("n_c") * F.greatest("n_t", "n_ct"))) / F.log(F.lit(float(total)) / F.col("n_c"))
     scored = n_ct.join(n_c, "entity").join(n_t, "term").where(F.col("n_c") < total).withColumn("disclosure", ratio)
