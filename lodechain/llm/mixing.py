@@ -83,19 +83,19 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block: in
     where = {(s, j): t for s, j, t in steps}
     last = lambda s: (b := ceil(counts[s] / block) - 1) // slots[s] * period + where[s, b % slots[s]]
     end = 1 + max(map(last, counts), default=-1)
-    sources = _literal(spark, [{"__s": s, "n": n, "a": slots[s], "buckets": ceil(n / BUCKET_ROWS)} for s, n in counts.items()], "__s string, n long, a long, buckets long")
-    slot_of = _literal(spark, [{"__s": s, "j": j, "at": t} for s, j, t in steps], "__s string, j long, at long")
-    dealt = rows.join(F.broadcast(sources), "__s").withColumn("__b", F.pmod("__h", F.col("buckets")))
-    sizes = dealt.groupBy("__s", "__b").agg(F.count("*").alias("c"))
-    before = F.sum("c").over(Window.partitionBy("__s").orderBy("__b")) - F.col("c")
-    offsets = cut(sizes.select("__s", "__b", before.alias("before")))
+    sources = _literal(spark, [{"__s": s, "__n": n, "__a": slots[s], "__buckets": ceil(n / BUCKET_ROWS)} for s, n in counts.items()], "__s string, __n long, __a long, __buckets long")
+    slot_of = _literal(spark, [{"__s": s, "__j": j, "__at": t} for s, j, t in steps], "__s string, __j long, __at long")
+    dealt = rows.join(F.broadcast(sources), "__s").withColumn("__b", F.pmod("__h", F.col("__buckets")))
+    sizes = dealt.groupBy("__s", "__b").agg(F.count("*").alias("__c"))
+    before = F.sum("__c").over(Window.partitionBy("__s").orderBy("__b")) - F.col("__c")
+    offsets = cut(sizes.select("__s", "__b", before.alias("__before")))
     inside = Window.partitionBy("__s", "__b").orderBy("__h", F.col(doc_id).asc_nulls_first())
-    ranked = dealt.withColumn("__r", F.row_number().over(inside) - 1).join(offsets, ["__s", "__b"]).withColumn("__r", F.col("__r") + F.col("before"))
-    rounds = F.floor((F.lit(end) / period * F.col("a") + 1) * block / F.col("n")) + 1
+    ranked = dealt.withColumn("__r", F.row_number().over(inside) - 1).join(offsets, ["__s", "__b"]).withColumn("__r", F.col("__r") + F.col("__before"))
+    rounds = F.floor((F.lit(end) / period * F.col("__a") + 1) * block / F.col("__n")) + 1
     used = ranked.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), rounds)))
-    index = F.col("epoch") * F.col("n") + F.col("__r")
-    placed = used.withColumns({"block": F.floor(index / block), "__o": index % block}).withColumn("j", F.col("block") % F.col("a"))
-    placed = placed.join(F.broadcast(slot_of), ["__s", "j"]).withColumn("slot", F.floor(F.col("block") / F.col("a")) * period + F.col("at")).where(F.col("slot") < end)
+    index = F.col("epoch") * F.col("__n") + F.col("__r")
+    placed = used.withColumns({"block": F.floor(index / block), "__o": index % block}).withColumn("__j", F.col("block") % F.col("__a"))
+    placed = placed.join(F.broadcast(slot_of), ["__s", "__j"]).withColumn("slot", F.floor(F.col("block") / F.col("__a")) * period + F.col("__at")).where(F.col("slot") < end)
     return placed.withColumn("position", F.col("slot") * block + F.col("__o")).select(*docs.drop(*made).columns, *made)
 
 

@@ -17,7 +17,7 @@ TEXTS = [(1, "Mail bo.li@ex.example.com now"), (2, None), (3, ""), (4, LONG), (5
 
 @pytest.fixture
 def docs(spark):
-    return spark.createDataFrame([(i, t, "en", "s", 1, 2, 3) for i, t in TEXTS], "doc_id long, text string, lang string, source string, n_tokens int, spans int, k int").repartition(3)
+    return spark.createDataFrame([(i, t, "en", "s", 1, 2, 3, 4, 5) for i, t in TEXTS], "doc_id long, text string, lang string, source string, n_tokens int, spans int, k int, n int, a int").repartition(3)
 
 
 @pytest.fixture
