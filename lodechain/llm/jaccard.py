@@ -9,10 +9,11 @@ are verified on their texts.
 
 Order: exact counts of 32-bit fingerprints over all classes, summed in ranges of fingerprints. Only what is bounded
 goes to the tasks: the most frequent fingerprints (``MOST`` at most, with the power of two of their count) and a bitmap
-of fixed size that tells which fingerprints were seen twice. Others rank by hash. Any order gives the same result.
+of fixed size that tells which fingerprints were seen twice. Shingles seen once come first, then those seen more often,
+then frequent ones by power; ties are in order of hash. Any order gives the same result.
 
-Components: first each document is verified against one partner, the smallest set in a shared posting; only pairs
-whose components still differ are then joined in full. So no group of near copies is expanded into all its pairs.
+Components: in a few turns each document is verified against one partner, drawn from its postings; only pairs whose
+components still differ are then joined in full. So no group of near copies is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ VERIFY = 50.0
 #: Ids that may be broadcast.
 FEW = 2_000_000
 FLUSH = 4_000_000
+#: Rounds in which each document is verified against one partner, before the rest is joined in full.
+TURNS = 2
 
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -214,10 +217,13 @@ def _statistics(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return bits.ravel(), np.concatenate(fps or empty), np.concatenate(powers or [np.empty(0, np.uint8)])
 
 
-def prefix(s: np.ndarray, bits: np.ndarray, fps: np.ndarray, powers: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """A set's prefix shingles that can have partners, the smallest l whose prefix has each, and the set's own l."""
+def prefix(s: np.ndarray, bits: np.ndarray, fps: np.ndarray, powers: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, tuple[int, int]]:
+    """A set's prefix shingles that can have partners, the smallest l whose prefix has each, the set's own l, and the
+    place in the global order where the prefix ends."""
     fp = (s >> np.uint64(32)).astype(np.uint32)
-    power = np.zeros(len(s), np.uint8)
+    spot = fp >> np.uint32(BITS_OFF)
+    twice = (bits[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8)) & 1
+    power = twice.astype(np.uint8)
     if len(fps):
         at = np.searchsorted(fps, fp)
         at[at == len(fps)] = 0
@@ -226,36 +232,36 @@ def prefix(s: np.ndarray, bits: np.ndarray, fps: np.ndarray, powers: np.ndarray)
     n = len(s)
     first = n - least_overlap(n) + 1
     order = np.argsort(power, kind="stable")[: first + LONGEST - 1]  # s ascends, so ties are in order of hash
-    spot = fp[order] >> np.uint32(BITS_OFF)
-    twice = (bits[spot >> 3] >> (7 - (spot & 7))) & 1 != 0
-    cost = np.cumsum(np.where(twice, np.exp2(np.maximum(power[order], 1).astype(np.float64)), 0.0))
+    shared = power[order] > 0
+    cost = np.cumsum(np.where(shared, np.exp2(power[order].astype(np.float64)), 0.0))
     ells = np.arange(1, len(order) - first + 2)
     read = cost[first - 1 :]
     ell = int(np.argmin(read + VERIFY * read / ells)) + 1
     used = order[: first + ell - 1]
     level = np.maximum(np.arange(len(used)) - first + 2, 1)
-    return s[used][twice[: len(used)]], level[twice[: len(used)]], ell
+    end = int(power[used[-1]]), int(s[used[-1]]) - (1 << 63)
+    return s[used][shared[: len(used)]], level[shared[: len(used)]], ell, end
 
 
 def _entries(rows: DataFrame, shared) -> DataFrame:
-    """(h, k, n, level, ell) of all prefix shingles."""
+    """(h, k, n, level, ell, end_power, end_hash) of all prefix shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, k, n, level, ell = [], [], [], [], []
+            h, k, n, level, ell, power, end = [], [], [], [], [], [], []
             for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingles(t)
-                found, lv, e = prefix(s, *shared.value) if len(s) else (s, s, 0)
+                found, lv, e, (ep, eh) = prefix(s, *shared.value) if len(s) else (s, s, 0, (0, 0))
                 m = len(found)
                 if m:
                     h.append(found.view(np.int64))
                     level.append(lv)
-                    for out, x in ((k, key), (n, len(s)), (ell, e)):
+                    for out, x in ((k, key), (n, len(s)), (ell, e), (power, ep), (end, eh)):
                         out.append(np.full(m, x))
-            made = [pa.array(np.concatenate(x) if x else [], kind) for x, kind in ((h, pa.int64()), (k, pa.int64()), (n, pa.int32()), (level, pa.int16()), (ell, pa.int16()))]
-            yield pa.RecordBatch.from_arrays(made, names=["h", "k", "n", "level", "ell"])
+            made = [pa.array(np.concatenate(x) if x else [], kind) for x, kind in ((h, pa.int64()), (k, pa.int64()), (n, pa.int32()), (level, pa.int16()), (ell, pa.int16()), (power, pa.int16()), (end, pa.int64()))]
+            yield pa.RecordBatch.from_arrays(made, names=["h", "k", "n", "level", "ell", "end_power", "end_hash"])
 
-    return rows.select("k", "t").mapInArrow(run, "h long, k long, n int, level short, ell short")
+    return rows.select("k", "t").mapInArrow(run, "h long, k long, n int, level short, ell short, end_power short, end_hash long")
 
 
 @lru_cache(maxsize=64)
@@ -298,24 +304,41 @@ def _length_ok(a: str, b: str):
     return (F.col(a) * DEN >= F.col(b) * NUM) & (F.col(b) * DEN >= F.col(a) * NUM)
 
 
-def _near(entries: DataFrame) -> DataFrame:
-    """One partner (a) for each row key (b): of the smallest sets in its postings, the one that it meets most often."""
-    pivot = entries.groupBy("h").agg(F.min(F.struct("n", "k")).alias("p"), F.count("*").alias("f")).where("f > 1").select("h", F.col("p.n").alias("pn"), F.col("p.k").alias("a"))
-    met = entries.join(cut(pivot), "h").where((F.col("a") != F.col("k")) & _length_ok("n", "pn")).groupBy("a", F.col("k").alias("b")).count()
+def _known(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The entries with their components, those of postings only that more than one component shares."""
+    known = entries.withColumn("root", F.col("k")) if labels is None else cut(entries.join(labels, "k", "left").withColumn("root", F.coalesce("root", "k")))
+    several = known.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
+    return cut(known.join(cut(several), "h", "left_semi"))
+
+
+def _near(members: DataFrame, turn: int) -> DataFrame:
+    """One partner (a) for each row key (b). Each posting names one of its sets by a hash that differs from posting to
+    posting and from turn to turn; of those named for a document, not in its component and not too long or short, the
+    one that it meets most often is taken."""
+    draw = F.struct(F.xxhash64("k", "h", F.lit(turn)).alias("x"), F.col("k").alias("a"), F.col("n").alias("pn"), F.col("root").alias("pr"))
+    named = members.groupBy("h").agg(F.min(draw).alias("p")).select("h", "p.a", "p.pn", "p.pr")
+    met = members.join(cut(named), "h").where((F.col("root") != F.col("pr")) & _length_ok("n", "pn")).groupBy("a", F.col("k").alias("b")).count()
     return met.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
 
 
-def _far(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """All candidate pairs whose components differ."""
-    known = cut(entries.join(labels, "k", "left").withColumn("root", F.coalesce("root", "k")))
-    several = known.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
-    members = known.join(cut(several), "h", "left_semi")
+def _far(members: DataFrame) -> DataFrame:
+    """All candidate pairs whose components differ.
+
+    A pair must share l prefix shingles up to level l. Of the two prefixes, let x's end first in the global order:
+    whatever they share beyond the shared prefix shingles lies in x's rest, so those must be as many as the pair's
+    least overlap, 4 / 9 of both sizes, exceeds that rest.
+    """
     roots = members.select("h", "root").distinct()
     meets = cut(roots.withColumnRenamed("root", "r1").join(roots.withColumnRenamed("root", "r2"), "h").where("r1 < r2"))
-    x, y = (members.withColumnsRenamed({"root": f"r{i}", "k": f"k{i}", "n": f"n{i}", "level": f"level{i}", "ell": f"ell{i}"}) for i in (1, 2))
+    x, y = (members.withColumnsRenamed({c: f"{c}{i}" for c in ("k", "n", "level", "ell", "end_power", "end_hash")} | {"root": f"r{i}"}) for i in (1, 2))
     ell = F.least("ell1", "ell2")
-    met = meets.join(x, ["h", "r1"]).join(y, ["h", "r2"]).where(_length_ok("n1", "n2") & (F.col("level1") <= ell) & (F.col("level2") <= ell))
-    counted = met.groupBy("k1", "k2").agg(F.count("*").alias("shared"), F.first(ell).alias("ell")).where(F.col("shared") >= F.col("ell"))
+    rest = lambda i: F.ceil(F.col(f"n{i}") * NUM / DEN) - F.col(f"ell{i}")
+    ends_first = F.struct("end_power1", "end_hash1") <= F.struct("end_power2", "end_hash2")
+    least = F.ceil((F.col("n1") + F.col("n2")) * NUM / (NUM + DEN)) - F.when(ends_first, rest(1)).otherwise(rest(2))
+    met = meets.join(x, ["h", "r1"]).join(y, ["h", "r2"]).where(_length_ok("n1", "n2"))
+    met = met.select("k1", "k2", ((F.col("level1") <= ell) & (F.col("level2") <= ell)).cast("int").alias("in_level"), ell.alias("ell"), least.alias("least"))
+    counted = met.groupBy("k1", "k2").agg(F.count("*").alias("shared"), F.sum("in_level").alias("in_level"), F.first("ell").alias("ell"), F.first("least").alias("least"))
+    counted = counted.where((F.col("in_level") >= F.col("ell")) & (F.col("shared") >= F.col("least")))
     return counted.select(F.col("k1").alias("a"), F.col("k2").alias("b"))
 
 
@@ -335,9 +358,14 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     alone = rows.join(F.broadcast(copies) if copies.count() <= FEW else copies, "k", "left_anti")
     shared = docs.sparkSession.sparkContext.broadcast(_statistics(alone))
     entries = cut(_entries(alone, shared))
-    near = _verified(_near(entries), alone)
-    far = _verified(_far(entries, components(near)), alone)
-    roots = components(near.union(far))
+    labels, links, members = None, None, _known(entries, None)
+    for turn in range(TURNS):
+        found = _verified(_near(members, turn), alone)
+        links = found if links is None else links.union(found)
+        labels = components(links)
+        members = _known(entries, labels)
+    far = _verified(_far(members), alone)
+    roots = components(links.union(far))
     placed = classes.join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
     named = placed.groupBy("root").agg(F.min("label").alias("component_id"))
     of_class = cut(placed.join(named, "root").select("c", "component_id"))

@@ -116,7 +116,7 @@ def test_longer_prefixes_are_chosen():
     s = np.arange(1, 101, dtype=np.uint64) << np.uint64(32)
     bits = np.full(1 << 24, 255, np.uint8)
     fps, powers = (s >> np.uint64(32)).astype(np.uint32), np.full(100, 10, np.uint8)
-    found, level, ell = jaccard.prefix(s, bits, fps, powers)
+    found, level, ell, end = jaccard.prefix(s, bits, fps, powers)
     assert ell == jaccard.LONGEST and len(found) == 21 + ell - 1 and level.max() == ell
     assert jaccard.prefix(s, np.zeros(1 << 24, np.uint8), fps[:0], powers[:0])[2] == 1
 
