@@ -28,7 +28,7 @@ BITS = 12  # of a character's number
 #: Characters with numbers of their own: 0 is the start, 1 the end, 2 any other character.
 ALPHABET = (1 << BITS) - 3
 MOST = 8_000_000
-#: Ids that may be broadcast.
+#: Ids or languages that may be broadcast.
 FEW = 2_000_000
 BLOCK = 1 << 20
 _SPACE = re.compile(r"\s+")
@@ -267,8 +267,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, margin:
     trusted_rows = narrow.where("__trusted")
     found = F.percentile_approx("perplexity", [0.5, quantile], 10_000).alias("q")
     whole = trusted_rows.agg(found).first().q or [None, None]
-    by_lang = trusted_rows.where("lang is not null").groupBy("lang").agg(found)
-    out = narrow.drop("__trusted").join(by_lang, "lang", "left").withColumn("q", F.coalesce("q", F.array(*[F.lit(x).cast("double") for x in whole])))
+    by_lang = cut(trusted_rows.where("lang is not null").groupBy("lang").agg(found))
+    out = narrow.drop("__trusted").join(F.broadcast(by_lang) if by_lang.count() <= FEW else by_lang, "lang", "left").withColumn("q", F.coalesce("q", F.array(*[F.lit(x).cast("double") for x in whole])))
     middle, out = F.col("q")[0], out.withColumn("threshold", margin * F.col("q")[1])
     # a short text tells little: it is judged as if ``prior`` characters of median perplexity stood beside it
     judged = F.exp((F.col("chars") * F.log("perplexity") + prior * F.log(middle)) / (F.col("chars") + prior))
