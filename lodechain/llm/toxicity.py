@@ -9,9 +9,11 @@ with an L2 penalty is then fitted on the features scaled by r. Training is the o
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,15 +117,31 @@ def fit(texts: list[str], toxic: list[int], smoothing: float = 1.0, selected: in
     return Model(keep, w * r / norm, float(bias))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[list[str], list[int]]:
-    """At most ``max_rows`` labelled texts, those with the smallest hashes of their id. Rows without a label, id or
-    text take no part."""
+def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+    """(k, t, y): at most ``max_rows`` labelled rows' texts, those with the smallest hashes of their id. Rows without a
+    label, id or text take no part."""
     chosen = (
         labels.select(F.col(doc_id).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y is not null").withColumn("h", F.xxhash64("k")).orderBy("h", "k", "y").limit(max_rows).select("k", "y")
     )
-    found = docs.select(F.col(doc_id).alias("k"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(chosen), "k").select("k", "t", "y").collect()
-    found.sort(key=lambda r: (r.k, r.y, r.t))
-    return [r.t for r in found], [int(r.y != 0) for r in found]
+    return docs.select(F.col(doc_id).alias("k"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(chosen), "k").select("k", "t", "y")
+
+
+def train(sample: DataFrame) -> Model:
+    """``fit`` on a bounded sample, in one task, so that the driver holds the model only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic = [], []
+        for b in batches:
+            texts += b.column(0).to_pylist()
+            toxic += [int(y != 0) for y in b.column(1).to_pylist()]
+        m = fit(texts, toxic)
+        yield pa.RecordBatch.from_arrays([pa.array([m.buckets.astype(np.int64).tobytes()]), pa.array([m.weights.astype(np.float64).tobytes()]), pa.array([m.bias])], names=["buckets", "weights", "bias"])
+
+    ordered = sample.repartition(1).sortWithinPartitions("k", "y", F.sha2("t", 256)).select("t", "y")
+    found = ordered.mapInArrow(run, "buckets binary, weights binary, bias double").collect()
+    if not found:
+        return fit([], [])
+    return Model(np.frombuffer(found[0].buckets, np.int64), np.frombuffer(found[0].weights, np.float64), found[0].bias)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
@@ -149,6 +167,6 @@ def classify(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, doc_id: s
     row without an id is not held out. Repeated rows are scored alike, each once.
     """
     fold = F.crc32(F.col(doc_id).cast("string")) % 5
-    model = fit(*training_sample(docs, labels.where(fold != 0), max_rows, doc_id, text, label))
+    model = train(training_sample(docs, labels.where(fold != 0), max_rows, doc_id, text, label))
     scored = score(docs, model, text)
     return scored.withColumn("held_out", F.coalesce(fold == 0, F.lit(False))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
