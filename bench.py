@@ -15,7 +15,7 @@ from lodechain.session import local_session
 
 HEADLINE = [
     "behaviour_groups", "interval_join", "shared_artifact_groups", "merge_same_anchor", "bursts", "collapse_runs", "round_robin_cap", "windowed_rerank",
-    "catalogue_topk", "technique_distribution", "family_boost", "bm25", "viterbi_chain", "sequence_lcs", "detection_rules", "knn_anomaly", "lineage_walk", "provenance_edges", "group_sets", "auc_by_type",
+    "catalogue_topk_all", "technique_distribution_all", "family_boost_all", "bm25", "viterbi_chain", "sequence_lcs", "detection_rules", "knn_anomaly_all", "lineage_walk", "provenance_edges", "group_sets", "auc_by_type",
 ]
 
 

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a benign reference set that may be broadcast.
+from lodechain.operators.retrieval import against
+
+#: Rows of a benign reference set that may be broadcast at once.
 MOST = 100_000
 
 
 def knn_score(rows: DataFrame, benign: DataFrame, id: str, vector: str, k: int = 10) -> DataFrame:
-    """(id, score): mean Euclidean distance to the ``k`` nearest benign vectors, a reference set of checked size. Only
-    the k smallest distances of each row are kept while the reference set is scanned."""
-    if benign.count() > MOST:
-        raise ValueError(f"a reference set has at most {MOST} rows")
+    """(id, score): mean Euclidean distance to the ``k`` nearest benign vectors, which are broadcast in blocks of about
+    ``MOST``. Only the k smallest distances of each row are kept while the reference set is scanned."""
     d = F.sqrt(F.aggregate(F.zip_with(F.col(vector), F.col("__v"), lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x))
-    near = rows.crossJoin(F.broadcast(benign.select(F.col(vector).alias("__v")))).select(id, d.alias("d"))
+    near = against(rows, benign.select(F.col(vector).alias("__v")), MOST, id).select(id, d.alias("d"))
     best = near.withColumn("r", F.row_number().over(Window.partitionBy(id).orderBy("d"))).where(F.col("r") <= k)
     return best.groupBy(id).agg(F.avg("d").alias("score"))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a catalogue that may be broadcast (a technique catalogue has hundreds).
+#: Rows of a catalogue that may be broadcast at once (a technique catalogue has hundreds).
 MOST = 100_000
 
 
@@ -13,11 +15,20 @@ def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def similarities(queries: DataFrame, catalogue: DataFrame, q: str, c: str) -> DataFrame:
-    """Every query against the whole catalogue, a table of bounded size whose rows are counted before it is broadcast."""
-    if catalogue.count() > MOST:
-        raise ValueError(f"a catalogue has at most {MOST} rows; use an index for more")
-    return queries.crossJoin(F.broadcast(catalogue)).withColumn("similarity", inner_product(F.col(q), F.col(c)))
+def similarities(queries: DataFrame, catalogue: DataFrame, q: str, c: str, key: str = "q") -> DataFrame:
+    """Every query against the whole catalogue, whose rows are counted and broadcast in blocks of about ``MOST``."""
+    return against(queries, catalogue, MOST, key).withColumn("similarity", inner_product(F.col(q), F.col(c)))
+
+
+def against(rows: DataFrame, others: DataFrame, most: int, key: str) -> DataFrame:
+    """Every row beside each of ``others``, which are broadcast in as many blocks as ``most`` rows a block ask for. Rows
+    are dealt by ``key`` first, since few files of them may stand against many others."""
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    blocks = max(1, -(-others.count() // most))
+    if blocks == 1:
+        return rows.crossJoin(F.broadcast(others))
+    block = F.pmod(F.xxhash64(*others.columns), F.lit(blocks))
+    return reduce(DataFrame.union, [rows.crossJoin(F.broadcast(others.where(block == i))) for i in range(blocks)])
 
 
 def softmax(df: DataFrame, key: list[str], score: str, out: str, beta: float = 10.0) -> DataFrame:

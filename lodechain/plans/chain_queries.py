@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -18,20 +20,26 @@ SIM = """s AS (SELECT q.vec_id AS q, c.vec_id AS c, q.label AS ql, c.label AS cl
   FROM embeddings q, embeddings c WHERE q.vec_id % 25 = 0 AND c.vec_id < 200)"""
 
 
-def sims(spark, sf_dir):
+def all_sims(spark, sf_dir, queries="true", catalogue="true"):
+    """Every vector as a query against every vector as a catalogue."""
     v = t(spark, sf_dir, "embeddings")
-    q = v.where("vec_id % 25 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("ql"), F.col("embedding").alias("qe"))
-    c = v.where("vec_id < 200").select(F.col("vec_id").alias("c"), F.col("label").alias("cl"), F.col("embedding").alias("ce"))
+    q = v.where(queries).select(F.col("vec_id").alias("q"), F.col("label").alias("ql"), F.col("embedding").alias("qe"))
+    c = v.where(catalogue).select(F.col("vec_id").alias("c"), F.col("label").alias("cl"), F.col("embedding").alias("ce"))
     return retrieval.similarities(q, c, "qe", "ce").select("q", "c", "ql", "cl", F.col("similarity").alias("sim"))
 
 
+def sims(spark, sf_dir):
+    """The vectors that ``SIM`` names, and no others: what the SQL is held against. The whole job is ``all_sims``."""
+    return all_sims(spark, sf_dir, "vec_id % 25 = 0", "vec_id < 200")
+
+
 @register("catalogue_topk", f"WITH {SIM}, r AS (SELECT q, c, round(sim, 4) AS sim, row_number() OVER (PARTITION BY q ORDER BY sim DESC, c) AS rank FROM s) SELECT * FROM r WHERE rank <= 5")
-def catalogue_topk(spark, sf_dir):
+def catalogue_topk(spark, sf_dir, sims=sims):
     return retrieval.top_k(sims(spark, sf_dir), ["q"], [F.col("sim").desc(), F.col("c")], 5).select("q", "c", F.round("sim", 4).alias("sim"), "rank")
 
 
 @register("technique_distribution", f"WITH {SIM} SELECT q, c, round(exp(10 * sim) / sum(exp(10 * sim)) OVER (PARTITION BY q), 6) AS p FROM s")
-def technique_distribution(spark, sf_dir):
+def technique_distribution(spark, sf_dir, sims=sims):
     return retrieval.softmax(sims(spark, sf_dir), ["q"], "sim", "p").select("q", "c", F.round("p", 6).alias("p"))
 
 
@@ -39,7 +47,7 @@ def technique_distribution(spark, sf_dir):
     "rule_priors",
     f"""WITH {SIM}, p AS (SELECT *, sim * CASE WHEN ql = cl THEN 1.15 WHEN abs(ql - cl) = 1 THEN 1.05 ELSE 1 END AS b FROM s), r AS (SELECT q, c, round(b, 4) AS boosted, row_number() OVER (PARTITION BY q ORDER BY b DESC, c) AS rank FROM p) SELECT * FROM r WHERE rank <= 5""",
 )
-def rule_priors(spark, sf_dir):
+def rule_priors(spark, sf_dir, sims=sims):
     s = sims(spark, sf_dir).withColumn("b", retrieval.rule_prior(F.col("sim"), F.col("ql") == F.col("cl"), F.abs(F.col("ql") - F.col("cl")) == 1))
     return retrieval.top_k(s, ["q"], [F.col("b").desc(), F.col("c")], 5).select("q", "c", F.round("b", 4).alias("boosted"), "rank")
 
@@ -49,16 +57,16 @@ def rule_priors(spark, sf_dir):
     f"""WITH {SIM}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, c) AS r FROM s), f AS (SELECT *, count(*) FILTER (r <= 10) OVER (PARTITION BY q, cl) AS n FROM r)
     SELECT q, c, round(CASE WHEN r <= 10 THEN sim * (1 + 0.15 * (n - 1)) ELSE sim END, 4) AS score FROM f WHERE r <= 20""",
 )
-def family_boost(spark, sf_dir):
-    r = grouping.round_robin(sims(spark, sf_dir), "q", [F.col("sim").desc(), F.col("c")], "r")
-    return retrieval.family_boost(r, ["q"], "r", "cl", "sim").where("r <= 20").select("q", "c", F.round("sim", 4).alias("score"))
+def family_boost(spark, sf_dir, sims=sims):
+    r = retrieval.top_k(sims(spark, sf_dir), ["q"], [F.col("sim").desc(), F.col("c")], 20)
+    return retrieval.family_boost(r, ["q"], "rank", "cl", "sim").select("q", "c", F.round("sim", 4).alias("score"))
 
 
 @register(
     "confidence_margin",
     f"WITH {SIM}, r AS (SELECT q, sim, row_number() OVER (PARTITION BY q ORDER BY sim DESC, c) AS r FROM s) SELECT q, round(max(sim) FILTER (r = 1) - max(sim) FILTER (r = 2), 5) AS margin FROM r GROUP BY q",
 )
-def confidence_margin(spark, sf_dir):
+def confidence_margin(spark, sf_dir, sims=sims):
     two = retrieval.top_k(sims(spark, sf_dir), ["q"], [F.col("sim").desc(), F.col("c")], 2)
     return two.groupBy("q").agg(F.round(F.max(F.when(F.col("rank") == 1, F.col("sim"))) - F.max(F.when(F.col("rank") == 2, F.col("sim"))), 5).alias("margin"))
 
@@ -68,7 +76,7 @@ def confidence_margin(spark, sf_dir):
     f"""WITH {SIM}, r AS (SELECT q, ql, cl, row_number() OVER (PARTITION BY q ORDER BY sim DESC, c) AS r FROM s WHERE q <> c), m AS (SELECT q, ql, min(r) FILTER (ql = cl) AS first FROM r WHERE r <= 10 GROUP BY 1, 2)
     SELECT ql AS label, count(*) AS n, round(avg((coalesce(first, 99) = 1)::INT), 6) AS hit1, round(avg((coalesce(first, 99) <= 5)::INT), 6) AS hit5, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr FROM m GROUP BY 1""",
 )
-def reciprocal_rank(spark, sf_dir):
+def reciprocal_rank(spark, sf_dir, sims=sims):
     r = retrieval.top_k(sims(spark, sf_dir).where("q <> c"), ["q"], [F.col("sim").desc(), F.col("c")], 10)
     m = r.groupBy("q", "ql").agg(F.min(F.when(F.col("ql") == F.col("cl"), F.col("rank"))).alias("f"))
     hit = lambda k: F.round(F.avg((F.coalesce("f", F.lit(99)) <= k).cast("int")), 6)
@@ -80,9 +88,9 @@ def reciprocal_rank(spark, sf_dir):
     """WITH d AS (SELECT a.vec_id, sqrt(list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM embeddings a, embeddings b WHERE a.vec_id % 25 = 0 AND b.vec_id < 200 AND b.label < 5),
     r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d) AS r FROM d) SELECT vec_id, round(avg(d), 4) AS score FROM r WHERE r <= 10 GROUP BY 1""",
 )
-def knn_anomaly(spark, sf_dir):
+def knn_anomaly(spark, sf_dir, rows="vec_id % 25 = 0", reference="vec_id < 200"):
     v = t(spark, sf_dir, "embeddings")
-    return anomaly.knn_score(v.where("vec_id % 25 = 0"), v.where("vec_id < 200 and label < 5"), "vec_id", "embedding").select("vec_id", F.round("score", 4).alias("score"))
+    return anomaly.knn_score(v.where(rows), v.where(reference).where("label < 5"), "vec_id", "embedding").select("vec_id", F.round("score", 4).alias("score"))
 
 
 @register(
@@ -378,7 +386,7 @@ def cache_keys(spark, sf_dir):
     "confidence_gate",
     f"WITH {SIM}, r AS (SELECT q, c, sim, row_number() OVER (PARTITION BY q ORDER BY sim DESC, c) AS r FROM s WHERE q <> c) SELECT q, c FROM r WHERE r = 1 AND sim >= 0.35",
 )
-def confidence_gate(spark, sf_dir):
+def confidence_gate(spark, sf_dir, sims=sims):
     return retrieval.top_k(sims(spark, sf_dir).where("q <> c"), ["q"], [F.col("sim").desc(), F.col("c")], 1).where("sim >= 0.35").select("q", "c")
 
 
@@ -390,3 +398,9 @@ def confidence_gate(spark, sf_dir):
 def ordered_merge(spark, sf_dir):
     c = chats(spark, sf_dir)
     return c.select("conv_id", F.array_join(sequence.ordered_merge(F.col("s"), F.reverse("s"), 2), ",").alias("merged"))
+
+
+# The whole jobs: all vectors on both sides. Too slow in SQL; tested against plain versions.
+for _query in (catalogue_topk, technique_distribution, rule_priors, family_boost, confidence_margin, reciprocal_rank, confidence_gate):
+    register(f"{_query.__name__}_all")(partial(_query, sims=all_sims))
+register("knn_anomaly_all")(partial(knn_anomaly, rows="true", reference="true"))
