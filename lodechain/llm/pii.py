@@ -3,10 +3,11 @@
 Base patterns find protected entities (e-mail and IP addresses, card and phone numbers). Words that stand near a
 mention may give the entity away even when the mention itself is masked. How strongly word t reveals entity c is
 estimated from document co-occurrence over the whole corpus: PMI(c; t) / IC(c), that is
-log(n_ct * N / (n_c * n_t)) / log(N / n_c), which is 1 if t is found with c only and in proportion less the more t is
-found elsewhere. Words at or above ``generalise_at`` are generalised in those documents, near those mentions; at or
+log(n_ct * N / (n_c * (n_t + 1))) / log(N / n_c), which is near 1 if t is found with c only and in proportion less the
+more t is found elsewhere. Every count is scored, however small; the one more document is add-one smoothing, which
+holds back single meetings in a corpus too small to tell. Words at or above ``generalise_at`` are generalised in those documents, near those mentions; at or
 above ``remove_at`` they are removed. Pairs are counted within a window around each mention, so their number is linear
-in the text, and a pair needs ``support`` documents.
+in the text.
 """
 
 from __future__ import annotations
@@ -72,23 +73,23 @@ def occurrences(docs: DataFrame, window: int, doc_id: str = "doc_id", text: str
     return near.withColumn("words", words).select("row", "k", "key", "entity", F.explode("words").alias("w")).select("row", "k", "key", "entity", "w.term", "w.start", "w.end")
 
 
-def disclosures(docs: DataFrame, seen: DataFrame, support: int, least: float, text: str = "text") -> DataFrame:
+def disclosures(docs: DataFrame, seen: DataFrame, least: float, text: str = "text") -> DataFrame:
     """(entity, term, disclosure) of the pairs at or above ``least``; counts are over all documents."""
     total = docs.count()
     each = seen.select("k", "key", "entity", "term").distinct()
-    n_ct = cut(each.groupBy("entity", "term").count().where(F.col("count") >= support).withColumnRenamed("count", "n_ct"))
+    n_ct = cut(each.groupBy("entity", "term").count().withColumnRenamed("count", "n_ct"))
     n_c = each.select("k", "key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
     in_docs = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))).alias("term"))
     n_t = in_docs.groupBy("term").agg(F.count("*").alias("n_t"))
-    ratio = F.log(F.col("n_ct") * F.lit(float(total)) / (F.col("n_c") * F.greatest("n_t", "n_ct"))) / F.log(F.lit(float(total)) / F.col("n_c"))
+    ratio = F.log(F.col("n_ct") * F.lit(float(total)) / (F.col("n_c") * (F.greatest("n_t", "n_ct") + 1))) / F.log(F.lit(float(total)) / F.col("n_c"))
     scored = n_ct.join(n_c, "entity").join(n_t, "term").where(F.col("n_c") < total).withColumn("disclosure", ratio)
     return cut(scored.where(F.col("disclosure") >= least).select("entity", "term", "disclosure"))
 
 
-def term_spans(docs: DataFrame, window: int = 60, support: int = 3, generalise_at: float = 0.8, remove_at: float = 0.95, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def term_spans(docs: DataFrame, window: int = 60, generalise_at: float = 0.8, remove_at: float = 0.95, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(k, key, terms): for documents with disclosing words, the spans of kind ``term``, with the action taken."""
     seen = cut(occurrences(docs, window, doc_id, text))
-    flagged = seen.join(disclosures(docs, seen, support, generalise_at, text), ["entity", "term"])
+    flagged = seen.join(disclosures(docs, seen, generalise_at, text), ["entity", "term"])
     worst = flagged.groupBy("k", "key", "start", "end", "term").agg(F.max("disclosure").alias("d"))
     span = F.struct("start", F.lit(len(BASE)).alias("kind_order"), "end", F.lit("term").alias("kind"), F.when(F.col("d") >= remove_at, "").otherwise("[term]").alias("value"))
     return worst.groupBy("k", "key").agg(F.array_sort(F.collect_list(span)).alias("terms"))

@@ -68,6 +68,13 @@ def test_disclosing_words(spark):
     assert "Zorblax" not in out[0] and "the team" in out[0] and "[email]" in out[0] and out[90] == "Zorblaxian views" and out[12] == "the team plan number 2 is about work"
 
 
+def test_an_entity_of_one_document_has_disclosing_words(spark):
+    """One document is enough: the nickname beside an address that no other document holds does not stay."""
+    rows = [(0, "please ask Zorblax or the team at zo@ex.example.com about it")] + [(10 + i, f"please ask the team, plan number {i} is about work") for i in range(300)]
+    out = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0] == "please ask [term] or the team at [email] about it" and out[12] == rows[3][1]
+
+
 def words(t):
     return [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or "")) if w]
 
