@@ -1,13 +1,12 @@
 """Operator 3: PII, with information-theoretic sanitisation, in DataFrame functions only.
 
-Base patterns find protected entities (e-mail and IP addresses, card and phone numbers). Words that stand near a
-mention may give the entity away even when the mention itself is masked. How strongly word t reveals entity c is
+Base patterns find protected entities (e-mail and IP addresses, card and phone numbers). Words of a document
+that holds one may give the entity away even when the mention itself is masked. How strongly word t reveals entity c is
 estimated from document co-occurrence over the whole corpus: PMI(c; t) / IC(c), that is
 log(n_ct * N / (n_c * (n_t + 1))) / log(N / n_c), which is near 1 if t is found with c only and in proportion less the
 more t is found elsewhere. Every count is scored, however small; the one more document is add-one smoothing, which
-holds back single meetings in a corpus too small to tell. Words at or above ``generalise_at`` are generalised in those documents, near those mentions; at or
-above ``remove_at`` they are removed. Pairs are counted within a window around each mention, so their number is linear
-in the text.
+holds back single meetings in a corpus too small to tell. Words at or above ``generalise_at`` are generalised wherever they stand in the documents that hold
+the entity; at or above ``remove_at`` they are removed.
 """
 
 from __future__ import annotations
@@ -40,8 +39,10 @@ BASE = [
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", _luhn),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda v: F.length(F.translate(v, "+ ().-", "")).between(10, 15)),
 ]
-#: A word that stands by itself: letters, between white space or ends of text, before at most some punctuation.
-WORD = r"(?<!\S)\p{L}{3,}+(?=[.,;:!?]*+(?!\S))"
+#: A word: letters and digits, a letter among them, joined by single hyphens or apostrophes; 3 characters at least.
+WORD = r"(?<![\p{L}\p{M}\p{N}])(?=[\p{N}\p{M}'\u2019-]*+\p{L})(?=[\p{L}\p{M}\p{N}'\u2019-]{3})[\p{L}\p{M}\p{N}]++(?:['\u2019-][\p{L}\p{M}\p{N}]++)*+"
+#: Addresses come first, so that their parts are no words.
+TOKEN = f"{BASE[0].pattern}|{WORD}"
 
 
 def base_spans(docs: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
@@ -49,48 +50,62 @@ def base_spans(docs: DataFrame, text: str = "text", out: str = "spans") -> DataF
     return with_spans(docs, text, BASE, out)
 
 
-def _words(context: Column, offset: Column) -> Column:
-    """Structs (term, start, end) of the words in a short text that begins at ``offset``."""
-    pieces, values = F.split(context, WORD, -1), F.regexp_extract_all(context, F.lit(WORD), F.lit(0))
+def _words(text: Column) -> Column:
+    """Structs (term, start, end) of all words of a text."""
+    pieces, values = F.split(text, TOKEN, -1), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
     ends = running(F.zip_with(F.slice(pieces, 1, F.size(values)), values, lambda p, v: F.length(p) + F.length(v)))
-    return F.zip_with(values, ends, lambda v, e: F.struct(F.lower(v).alias("term"), (offset + e - F.length(v)).alias("start"), (offset + e).alias("end")))
+    found = F.zip_with(values, ends, lambda v, e: F.struct(F.lower(v).alias("term"), (e - F.length(v)).alias("start"), e.alias("end")))
+    return F.filter(found, lambda w: ~w["term"].contains("@"))
 
 
-def occurrences(docs: DataFrame, window: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Words within ``window`` characters of a mention: (row, k, key, entity, term, start, end)."""
+def _terms(text: Column) -> Column:
+    """The distinct words of a text."""
+    return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), F.lower), lambda w: ~w.contains("@")))
+
+
+def holders(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(k, key, t, entities): the documents that hold an entity, repeated rows once."""
     rows = base_spans(docs.select(F.xxhash64(doc_id).alias("k"), F.col(text).alias("t")), "t")
     # a column that is not deterministic keeps the optimizer from repeating the pattern searches in a pushed-down filter
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
-    mentions = rows.select("row", "k", text_key(F.col("t")).alias("key"), "t", F.explode("spans").alias("s"))
-    at = F.greatest(F.col("s.start") - window, F.lit(0))
-    near = mentions.select(
-        "row", "k", "key", F.concat_ws(":", "s.kind", F.when(F.col("s.kind") == "email", F.lower("s.value")).otherwise(F.col("s.value"))).alias("entity"),
-        F.col("s.start").alias("ms"), F.col("s.end").alias("me"), at.alias("at"), F.col("t").substr(at + 1, F.col("s.start") - at).alias("left"), F.col("t").substr(F.col("s.end") + 1, F.lit(window)).alias("right"),
-    )
-    # a word cut by the window's border is no whole word: the first of the left side, the last of the right side
-    near = near.withColumns({"left": F.when(F.col("at") > 0, F.regexp_replace("left", r"^\S+", "")).otherwise(F.col("left")), "full": F.length("left")}).withColumn("right", F.when(F.length("right") == window, F.regexp_replace("right", r"\S+$", "")).otherwise(F.col("right")))
-    words = F.concat(_words(F.col("left"), F.col("at") + F.col("full") - F.length("left")), _words(F.col("right"), F.col("me")))
-    return near.withColumn("words", words).select("row", "k", "key", "entity", F.explode("words").alias("w")).select("row", "k", "key", "entity", "w.term", "w.start", "w.end")
-
-
-def disclosures(docs: DataFrame, seen: DataFrame, least: float, text: str = "text") -> DataFrame:
-    """(entity, term, disclosure) of the pairs at or above ``least``; counts are over all documents."""
-    total = docs.count()
-    each = seen.select("k", "key", "entity", "term").distinct()
-    n_ct = cut(each.groupBy("entity", "term").count().withColumnRenamed("count", "n_ct"))
-    n_c = each.select("k", "key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
-    in_docs = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))).alias("term"))
-    n_t = in_docs.groupBy("term").agg(F.count("*").alias("n_t"))
-    ratio = F.log(F.col("n_ct") * F.lit(float(total)) / (F.col("n_c") * (F.greatest("n_t", "n_ct") + 1))) / F.log(F.lit(float(total)) / F.col("n_c"))
-    scored = n_ct.join(n_c, "entity").join(n_t, "term").where(F.col("n_c") < total).withColumn("disclosure", ratio)
-    return cut(scored.where(F.col("disclosure") >= least).select("entity", "term", "disclosure"))
-
-
-def term_spans(docs: DataFrame, window: int = 60, generalise_at: float = 0.8, remove_at: float = 0.95, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    rows = rows.withColumn("row", F.monotonically_increasing_id()).where(F.size("spans") > 0)
+    named = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], F.when(s["kind"] == "email", F.lower(s["value"])).otherwise(s["value"])))
+    return rows.select("k", text_key(F.col("t")).alias("key"), "t", F.array_distinct(named).alias("entities")).dropDuplicates(["k", "key"])
+
+
+def disclosures(docs: DataFrame, held: DataFrame, least: float, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(entity, term, disclosure) of the pairs at or above ``least``, counts over all documents; and the pairs by
+    document (k, key, entity, term) among which they are.
+
+    A pair meets in n_c documents at most, so its disclosure is at most log(N / (n_t + 1)) / log(N / n_c): a term too
+    frequent for an entity is left out before pairs are made, and one too frequent for all entities before the join.
+    """
+    total = float(docs.count())
+    each = held.select("k", "key", F.explode("entities").alias("entity"))
+    n_c = cut(each.groupBy("entity").agg(F.count("*").alias("n_c")).where(F.col("n_c") < total))
+    bound = lambda n: least * (1 - 1e-9) * F.log(total / n)
+    lowest = n_c.agg(F.min(bound(F.col("n_c")))).first()[0]
+    room = F.log(total / (F.col("n_t") + 1))
+    n_t = docs.select(F.explode(_terms(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    n_t = cut(n_t.where(room >= (float("inf") if lowest is None else lowest)))
+    ready = each.join(n_c, "entity").groupBy("k", "key").agg(F.collect_list(F.struct("entity", "n_c")).alias("es"), F.min(bound(F.col("n_c"))).alias("low"))
+    in_docs = held.select("k", "key", F.explode(_terms(F.col("t"))).alias("term")).join(n_t, "term")
+    able = in_docs.join(ready, ["k", "key"]).where(room >= F.col("low"))
+    pairs = able.select("k", "key", "term", "n_t", F.explode("es").alias("e")).where(room >= bound(F.col("e.n_c")))
+    pairs = cut(pairs.select("k", "key", "term", "n_t", "e.entity", "e.n_c"))
+    n_ct = pairs.groupBy("entity", "term", "n_c", "n_t").agg(F.count("*").alias("n_ct"))
+    ratio = F.log(F.col("n_ct") * total / (F.col("n_c") * (F.greatest("n_t", "n_ct") + 1))) / F.log(total / F.col("n_c"))
+    scored = n_ct.withColumn("disclosure", ratio).where(F.col("disclosure") >= least)
+    return cut(scored.select("entity", "term", "disclosure")), pairs.select("k", "key", "entity", "term")
+
+
+def term_spans(docs: DataFrame, generalise_at: float = 0.8, remove_at: float = 0.95, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(k, key, terms): for documents with disclosing words, the spans of kind ``term``, with the action taken."""
-    seen = cut(occurrences(docs, window, doc_id, text))
-    flagged = seen.join(disclosures(docs, seen, generalise_at, text), ["entity", "term"])
-    worst = flagged.groupBy("k", "key", "start", "end", "term").agg(F.max("disclosure").alias("d"))
+    held = cut(holders(docs, doc_id, text))
+    found, pairs = disclosures(docs, held, generalise_at, text)
+    worst = cut(pairs.join(found, ["entity", "term"]).groupBy("k", "key", "term").agg(F.max("disclosure").alias("d")))
+    some = held.join(worst.select("k", "key").distinct(), ["k", "key"], "left_semi")
+    every = some.select("k", "key", F.explode(_words(F.col("t"))).alias("w")).select("k", "key", "w.term", "w.start", "w.end")
+    worst = every.join(worst, ["k", "key", "term"])
     span = F.struct("start", F.lit(len(BASE)).alias("kind_order"), "end", F.lit("term").alias("kind"), F.when(F.col("d") >= remove_at, "").otherwise("[term]").alias("value"))
     return worst.groupBy("k", "key").agg(F.array_sort(F.collect_list(span)).alias("terms"))
 

@@ -75,6 +75,15 @@ def test_an_entity_of_one_document_has_disclosing_words(spark):
     assert out[0] == "please ask [term] or the team at [email] about it" and out[12] == rows[3][1]
 
 
+def test_disclosing_words_far_from_the_mention(spark):
+    """All occurrences in a document that holds the entity count, however far off, in quotes or with a hyphen or digit."""
+    far = "the team plan is about work " * 20
+    rows = [(0, f"Zorblax {far}zo@ex.example.com {far}zorblax, ('Zorb-lax7')! {far}")] + [(10 + i, f"{far}number {i}") for i in range(300)] + [(900, "Xorbit alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.sanitise(df.union(df.where("doc_id = 0"))).collect()}
+    assert out[0] == f"[term] {far}[email] {far}[term], ('[term]')! {far}" and out[12] == rows[3][1] and out[900] == "Xorbit alone"
+
+
 def words(t):
     return [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or "")) if w]
 
