@@ -158,16 +158,18 @@ def _vbr(frame: bytes, h: Header) -> dict:
 
 def parse(data: bytes | None) -> Stream:
     """Parse a stream. Null, empty or frameless data give a stream without frames; a truncated last frame counts as
-    skipped bytes, a protected frame whose CRC disagrees is counted in ``crc_bad`` and kept."""
+    skipped bytes, a protected frame whose CRC disagrees is counted in ``crc_bad`` and kept. TAG at byte -128 begins an
+    ID3v1 tag unless it lies in a frame that ends where the data end."""
     data = data or b""
     at, tags = _id3v2(data)
     s, end = Stream(tags=tags), len(data)
-    if end - at >= 128 and data[-128:-125] == b"TAG":
-        end -= 128
-        s.tags.setdefault("TIT2", data[-125:-95].rstrip(b"\0 ").decode("latin-1"))
+    tagged = end - at >= 128 and data[-128:-125] == b"TAG"
+    end -= 128 * tagged
     lost, first = False, True
     while at + 4 <= end:
         h = header(data[at : at + 4])
+        if tagged and not lost and h is not None and at + h.length == len(data) and (s.head is None or h.kind == s.head.kind):
+            tagged, end = False, len(data)
         fits = h is not None and at + h.length <= end and (s.head is None or h.kind == s.head.kind)
         if fits and (s.head is None or lost) and at + h.length < end:
             following = header(data[at + h.length : at + h.length + 4])
@@ -195,6 +197,8 @@ def parse(data: bytes | None) -> Stream:
             s.samples += h.samples
         at += h.length
     s.skipped += end - at if at < end else 0
+    if tagged:
+        s.tags.setdefault("TIT2", data[-125:-95].rstrip(b"\0 ").decode("latin-1"))
     return s
 
 

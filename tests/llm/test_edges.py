@@ -67,6 +67,20 @@ def test_media_resynchronises():
     assert (h.version, h.layer, h.kbps, h.rate, h.samples, h.length) == ("1", 3, 128, 44100, 1152, 417)
 
 
+@pytest.mark.parametrize("n", [1, 2, 5])
+def test_media_payload_with_an_id3v1_mark(n):
+    """TAG in the payload, 128 bytes before the end of the stream, is no tag; a tag behind the last frame is one."""
+    payload = bytearray(media.pad(b"x" * 576 * n))
+    payload[-71:-68] = b"TAG"
+    whole = media.store(bytes(payload))
+    assert whole[-128:-125] == b"TAG"
+    for data, tags in ((whole, {"TSSE": "byte carrier"}), (whole + b"TAG" + b"name".ljust(125, b"\0"), {"TSSE": "byte carrier", "TIT2": "name"})):
+        s = media.parse(data)
+        assert media.load(data, s) == payload and s.tags == tags and s.skipped == 0
+    s = media.parse(whole[:-50] + b"TAG" + b"name".ljust(125, b"\0"))
+    assert len(s.offsets) == n - 1 and s.tags["TIT2"] == "name"
+
+
 def test_token_files(spark, docs, none):
     enc = tokenfile.encoder("word_bpe_49k.json")
     odd = ["It's  a\ttest\x1c don't 'S !!'s é’s ÀB,x İst ΣΑΣ, ﬁ ½ 12a <|endoftext|> é, a,́ ́ a\xa0b c", "", " ", "\n", "x" * 100 + "é."]
