@@ -350,10 +350,18 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     own id. Rows with equal sets are linked, repeated rows included; a row without an id gets its class's component
     and never names one. An empty table gives an empty result.
     """
+    out = _placed(docs, doc_id, text)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"))
+
+
+def _placed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(k, doc_id, n, first) of each row: ``first`` is the (doc_id, k) of its component that is smallest, null where the
+    row has no shingles or no row of the component an id."""
     rows = docs.select(F.xxhash64(doc_id, text).alias("k"), F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
     sets = cut(_sets(rows))
-    classes = cut(sets.where("n > 0").groupBy("c").agg(F.min("k").alias("k"), F.min("doc_id").alias("label"), F.count("*").alias("f")))
-    more = sets.where("n > 0").join(classes.where("f > 1").select("c", F.col("k").alias("first")), "c").where("k <> first").select("k")
+    named = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "k"))).alias("first")
+    classes = cut(sets.where("n > 0").groupBy("c").agg(F.min("k").alias("k"), named, F.count("*").alias("f")))
+    more = sets.where("n > 0").join(classes.where("f > 1").select("c", F.col("k").alias("one")), "c").where("k <> one").select("k")
     copies = cut(more.distinct())
     alone = rows.join(F.broadcast(copies) if copies.count() <= FEW else copies, "k", "left_anti")
     shared = docs.sparkSession.sparkContext.broadcast(_statistics(alone))
@@ -367,16 +375,21 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     far = _verified(_far(members), alone)
     roots = components(links.union(far))
     placed = classes.join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
-    named = placed.groupBy("root").agg(F.min("label").alias("component_id"))
-    of_class = cut(placed.join(named, "root").select("c", "component_id"))
-    out = sets.join(of_class, "c", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    smallest = placed.groupBy("root").agg(F.min("first").alias("first"))
+    of_class = cut(placed.drop("first").join(smallest, "root").select("c", "first"))
+    return sets.join(of_class, "c", "left").select("k", "doc_id", "n", "first")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: that of the component's id. Rows without shingles or id stay; of
-    repeated rows one stays."""
-    gone = join(docs, doc_id, text).where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    gone = cut(gone)
-    left = docs.join(F.broadcast(gone) if gone.count() <= FEW else gone, F.col(doc_id) == F.col("__gone"), "left_anti")
-    return left
+    """``docs`` with one row of each component: one with the component's id, and of texts that clash on it the one with
+    the smallest row key. Rows without shingles or id stay; of repeated rows (equal id and text) one stays."""
+    placed = cut(_placed(docs, doc_id, text).where("n > 0 and doc_id is not null").select("k", (F.col("k") != F.col("first.k")).alias("gone")))
+    gone = cut(placed.where("gone").select(F.col("k").alias("__gone")).distinct())
+    twice = cut(placed.where("not gone").groupBy(F.col("k").alias("__twice")).count().where("count > 1").select("__twice"))
+    keyed = docs.withColumn("__key", F.xxhash64(doc_id, text))
+    left = keyed.join(F.broadcast(gone) if gone.count() <= FEW else gone, F.col("__key") == F.col("__gone"), "left_anti")
+    if not twice.count():
+        return left.drop("__key")
+    near = F.broadcast(twice) if twice.count() <= FEW else twice
+    again = F.col("__key") == F.col("__twice")
+    return left.join(near, again, "left_anti").union(left.join(near, again, "left_semi").dropDuplicates(["__key"])).drop("__key")

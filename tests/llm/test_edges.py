@@ -106,6 +106,14 @@ def test_jaccard_edges(docs, none):
     assert jaccard.join(none).count() == 0
 
 
+def test_keep_one_with_repeated_and_clashing_ids(spark):
+    """The repeated row of a smallest id goes; a clean text stays, though its id is also on a near copy."""
+    first, clean, other = "one text of more than five words", "an unrelated text that nothing else is near", "yet another text beside all of these"
+    rows = [(1, first), (1, first), (2, first), (2, clean), (3, other), (3, "still one more text with this same id"), (4, other), (None, first), (5, ""), (5, "")]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(1, first), (2, clean), (3, other), rows[5], (None, first), (5, ""), (5, "")]))
+
+
 def test_pii_edges(docs, none):
     rows = {r.doc_id: r for r in pii.digest(pii.find(docs)).collect()}
     assert rows[1].n_email == 1 and rows[1].spans == "email:5:25" and rows[2].spans == rows[3].spans == rows[4].spans == ""
