@@ -50,12 +50,14 @@ def base_spans(docs: DataFrame, text: str = "text", out: str = "spans") -> DataF
     return with_spans(docs, text, BASE, out)
 
 
-def _words(text: Column) -> Column:
-    """Structs (term, start, end) of all words of a text."""
-    pieces, values = F.split(text, TOKEN, -1), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    ends = running(F.zip_with(F.slice(pieces, 1, F.size(values)), values, lambda p, v: F.length(p) + F.length(v)))
-    found = F.zip_with(values, ends, lambda v, e: F.struct(F.lower(v).alias("term"), (e - F.length(v)).alias("start"), e.alias("end")))
-    return F.filter(found, lambda w: ~w["term"].contains("@"))
+def _words(held: DataFrame) -> DataFrame:
+    """(k, key, term, start, end) of all words of the texts t. Matches and lengths are written before they are summed,
+    since the sums read them many times."""
+    t = F.col("t")
+    found = held.select("k", "key", F.split(t, TOKEN, -1).alias("p"), F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0)).alias("v"))
+    found = cut(found.select("k", "key", "v", F.zip_with(F.slice("p", 1, F.size("v")), "v", lambda p, v: F.length(p) + F.length(v)).alias("n")))
+    each = found.withColumn("e", running(F.col("n"))).select("k", "key", F.explode(F.arrays_zip("v", "e")).alias("w"))
+    return each.where(~F.col("w.v").contains("@")).select("k", "key", F.lower("w.v").alias("term"), (F.col("w.e") - F.length("w.v")).alias("start"), F.col("w.e").alias("end"))
 
 
 def _terms(text: Column) -> Column:
@@ -64,12 +66,13 @@ def _terms(text: Column) -> Column:
 
 
 def holders(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(k, key, t, entities): the documents that hold an entity, repeated rows once."""
+    """(row, k, key, t, entities): the documents that hold an entity, repeated rows once."""
     rows = base_spans(docs.select(F.xxhash64(doc_id).alias("k"), F.col(text).alias("t")), "t")
-    # a column that is not deterministic keeps the optimizer from repeating the pattern searches in a pushed-down filter
+    # a column that is not deterministic, and that is kept, keeps the optimizer from repeating the pattern searches in a
+    # pushed-down filter
     rows = rows.withColumn("row", F.monotonically_increasing_id()).where(F.size("spans") > 0)
     named = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], F.when(s["kind"] == "email", F.lower(s["value"])).otherwise(s["value"])))
-    return rows.select("k", text_key(F.col("t")).alias("key"), "t", F.array_distinct(named).alias("entities")).dropDuplicates(["k", "key"])
+    return rows.select("row", "k", text_key(F.col("t")).alias("key"), "t", F.array_distinct(named).alias("entities")).dropDuplicates(["k", "key"])
 
 
 def disclosures(docs: DataFrame, held: DataFrame, least: float, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -104,8 +107,7 @@ def term_spans(docs: DataFrame, generalise_at: float = 0.8, remove_at: float = 0
     found, pairs = disclosures(docs, held, generalise_at, text)
     worst = cut(pairs.join(found, ["entity", "term"]).groupBy("k", "key", "term").agg(F.max("disclosure").alias("d")))
     some = held.join(worst.select("k", "key").distinct(), ["k", "key"], "left_semi")
-    every = some.select("k", "key", F.explode(_words(F.col("t"))).alias("w")).select("k", "key", "w.term", "w.start", "w.end")
-    worst = every.join(worst, ["k", "key", "term"])
+    worst = _words(some).join(worst, ["k", "key", "term"])
     span = F.struct("start", F.lit(len(BASE)).alias("kind_order"), "end", F.lit("term").alias("kind"), F.when(F.col("d") >= remove_at, "").otherwise("[term]").alias("value"))
     return worst.groupBy("k", "key").agg(F.array_sort(F.collect_list(span)).alias("terms"))
 
