@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,8 +16,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of the first input that a Python worker takes at once.
+AT_ONCE = 8 << 20
+
+
+def runs(column: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``size`` bytes of a string or binary column each, in order; one row at least."""
+    ends, lo = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 16), 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The runs ``at`` of ``values``, one behind the other."""
+    n = lengths[at]
+    ends = np.cumsum(n)
+    shift = np.repeat(starts[at] - (ends - n), n)
+    shift += np.arange(len(shift))
+    return values[shift]
+
+
+def sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of runs of ``values`` of the given sizes."""
+    total = np.append(0, np.cumsum(values))
+    ends = np.cumsum(sizes)
+    return total[ends] - total[ends - sizes]
+
+
+def packed(ids: np.ndarray, counts: np.ndarray, dtype: str = "<u4") -> pa.Array:
+    """Runs of ``ids`` of the given sizes as cells of bytes."""
+    dtype = np.dtype(dtype)
+    ends = np.append(0, np.cumsum(counts)) * dtype.itemsize
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(ids, dtype))]).cast(pa.binary())
+
+
 def append_columns(df: DataFrame, fn: Callable[[dict[str, pa.Array]], list[Iterable]], fields: list[T.StructField], inputs: list[str]) -> DataFrame:
-    """``df`` with columns computed batch by batch in Python; a column of the same name is replaced.
+    """``df`` with columns computed in Python, ``AT_ONCE`` bytes of the first input at a time; a column of the same name
+    is replaced.
 
     ``fn`` gets the ``inputs`` as Arrow arrays and returns one sequence for each field, aligned with the rows.
     """
@@ -26,10 +65,12 @@ def append_columns(df: DataFrame, fn: Callable[[dict[str, pa.Array]], list[Itera
     types = [to_arrow_type(f.dataType) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = fn({c: b.column(b.schema.names.index(c)) for c in inputs})
-            arrays = [b.column(b.schema.names.index(f.name)) for f in kept] + [pa.array(v, t) for v, t in zip(made, types, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in kept] + [f.name for f in fields])
+        for whole in batches:
+            for lo, hi in runs(whole.column(whole.schema.names.index(inputs[0])), AT_ONCE):
+                b = whole.slice(lo, hi - lo)
+                made = fn({c: b.column(b.schema.names.index(c)) for c in inputs})
+                arrays = [b.column(b.schema.names.index(f.name)) for f in kept] + [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(made, types, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in kept] + [f.name for f in fields])
 
     return df.mapInArrow(run, T.StructType(kept + fields))
 

@@ -21,7 +21,7 @@ def query(fn):
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    made = bpe.decode(bpe.encode(docs).drop("text"))
+    made = bpe.encode(docs, decoded="decoded")
     return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
