@@ -21,11 +21,13 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodechain.llm.common import AT_ONCE, gathered, runs, sums
 from lodechain.session import cut, shared_dir
 
 #: Words that a Python worker remembers before it starts anew, and the longest of them.
@@ -35,6 +37,15 @@ LONGEST = 48
 NO_ID = -(1 << 63)
 MANIFEST = "part int, stem string, dtype string, n_docs long, n_tokens long"
 
+#: The normaliser, pre-tokenizer and model of tokenizers whose texts may be encoded word by word.
+BY_WORDS = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "BPE", "</w>",
+]
+
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 _ENDS = ".,;:!?)]}%&$#*"
 
@@ -42,8 +53,9 @@ _ENDS = ".,;:!?)]}%&$#*"
 class WordCache:
     """Ids of texts by way of their space-separated words, each encoded once by the tokenizer.
 
-    Only right for a tokenizer that drops white space and never joins across it. Words are split further at ASCII
-    class borders, as the tokenizer's own pre-tokenizer does, so that "word," and "word" share an entry.
+    Only right for a tokenizer that drops white space, lower-cases and never joins across white space, so ``BY_WORDS`` says
+    which; with any other the texts are encoded whole. Words are split further at ASCII class borders, as the
+    tokenizer's own pre-tokenizer does, so that "word," and "word" share an entry.
     """
 
     def __init__(self, path: str):
@@ -57,6 +69,8 @@ class WordCache:
         for token, i in self.tokenizer.get_vocab().items():
             last[i] = token.endswith("</w>")
         self.last = last
+        made = json.loads(self.tokenizer.to_str())
+        self.by_words = [made["normalizer"], made["pre_tokenizer"], made["model"]["type"], made["model"].get("end_of_word_suffix")] == BY_WORDS
 
     def _run(self, pieces: list[str]) -> None:
         """Encode new pieces, joined by spaces; the vocabulary marks the last token of each pre-token, which tells them
@@ -83,13 +97,10 @@ class WordCache:
         if word.isascii():
             return _ASCII.findall(word.lower())
         core = word.rstrip(_ENDS)
-        return [core, word[len(core) :]] if core and core != word and core[-1].isalpha() else [word]
+        return [core, word[len(core) :]] if core and core != word and core[-1].lower().isalpha() else [word]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.words) > CACHE_ENTRIES:
-            self.words = {"": b""}
-        missing = set(chain.from_iterable(split)).difference(self.words)
+    def _learn(self, missing: list[str]) -> list[str]:
+        """Encode words that are not remembered; gives those that are not to stay."""
         whole, pieces = [], {}
         for w in missing:
             if "<|" in w or len(w) > LONGEST:
@@ -105,23 +116,28 @@ class WordCache:
             self.words[w] = self.words[ps[0]] if len(ps) == 1 else b"".join([self.words[p] for p in ps])
         for w in whole:
             self.words[w] = self._alone(w)
-        out = [b"".join(map(self.words.__getitem__, words)) for words in split]
-        for w in whole:
+        return whole
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some texts, one behind the other, and how many each has."""
+        if not self.by_words:
+            found = self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)
+            return np.array(list(chain.from_iterable(f.ids for f in found)), self.dtype), np.array([len(f.ids) for f in found], np.int64)
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary
+        lowered = pc.if_else(pc.match_substring(words, "<|"), words, pc.ascii_lower(words)).dictionary_encode()
+        keys = lowered.dictionary.to_pylist()
+        if len(self.words) > CACHE_ENTRIES:
+            self.words = {"": b""}
+        passing = self._learn([k for k in keys if k not in self.words])
+        cells = list(map(self.words.__getitem__, keys))
+        for w in passing:
             del self.words[w]
-        return out
-
-
-def grouped(texts: list[str], chars: int = 1 << 18) -> Iterator[list[str]]:
-    """Runs of texts of about ``chars`` characters each."""
-    group, size = [], 0
-    for t in texts:
-        group.append(t)
-        size += len(t)
-        if size >= chars:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
+        length = np.fromiter(map(len, cells), np.int64, len(cells)) // self.dtype.itemsize
+        index = lowered.indices.to_numpy()[coded.indices.to_numpy()]
+        ids = gathered(np.frombuffer(b"".join(cells), self.dtype), np.cumsum(length) - length, length, index)
+        return ids, sums(length[index], pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))
 
 
 @lru_cache(maxsize=2)
@@ -132,8 +148,9 @@ def encoder(vocab: str) -> WordCache:
 def write(df: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text", vocab: str = "word_bpe_49k.json", end_id: int = 1) -> DataFrame:
     """Write the ids of every whole text in ascending ``doc_id`` order and return the manifest with ``base``.
 
-    A null text has no ids but the end id; null ids come first; equal ids are ordered by their texts' hashes. An empty
-    table gives an empty manifest and no files.
+    A null or empty text has no ids but the end id; null ids come first; equal ids are ordered by their texts' hashes and
+    repeated rows each have a place. An empty table gives an empty manifest and no files; other columns are not read.
+    ``AT_ONCE`` bytes of text are encoded at once, or one text where it is longer.
     """
     spark = df.sparkSession
     rows = df.select(F.col(doc_id).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
@@ -143,21 +160,19 @@ def write(df: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text"
         enc, part = encoder(vocab), TaskContext.get().partitionId()
         stem = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}"
         fs, path = pyarrow.fs.FileSystem.from_uri(stem)
-        end, at, n, out = np.array([end_id], enc.dtype).tobytes(), 0, 0, None
+        at, n, out = 0, 0, None
         for b in batches:
-            if not b.num_rows:
-                continue
-            if out is None:
-                out = [fs.open_output_stream(f"{path}.{x}") for x in ("ids", "off", "doc")]
-            ends = []
-            for group in grouped(b.column(1).to_pylist()):
-                for ids in enc.encode(group):
-                    out[0].write(ids + end)
-                    at += len(ids) // enc.dtype.itemsize + 1
-                    ends.append(at)
-            n += b.num_rows
-            out[1].write(np.array(ends, "<u8").tobytes())
-            out[2].write(b.column(0).fill_null(NO_ID).to_numpy().astype("<i8").tobytes())
+            for lo, hi in runs(b.column(1), AT_ONCE):
+                if out is None:
+                    out = [fs.open_output_stream(f"{path}.{x}") for x in ("ids", "off", "doc")]
+                ids, counts = enc.encode(b.column(1)[lo:hi])
+                ends = np.cumsum(counts)
+                out[0].write(np.insert(ids, ends, end_id).tobytes())
+                ends += np.arange(1, len(ends) + 1)
+                out[1].write((at + ends).astype("<u8").tobytes())
+                out[2].write(b.column(0)[lo:hi].fill_null(NO_ID).to_numpy().astype("<i8").tobytes())
+                at += int(ends[-1])
+                n += hi - lo
         if out is not None:
             for f in out:
                 f.close()
