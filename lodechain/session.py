@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         there = "file://" + tempfile.mkdtemp(prefix="lodechain-")
         spark.sparkContext.setCheckpointDir(there)
     elif not spark.sparkContext.getCheckpointDir():
@@ -39,3 +42,25 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder so that a lost executor never recomputes what lies before."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Scratch:
+    """Intermediate tables of one job, written as Parquet below the shared folder: each is computed once, read by any
+    executor, and gone when ``drop`` is called after the last use."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.folder = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.made = 0
+
+    def put(self, df: DataFrame) -> DataFrame:
+        """``df`` written and read again."""
+        self.made += 1
+        path = f"{self.folder}/{self.made}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Delete all tables."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
