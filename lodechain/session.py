@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.partition("[")[0] == "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         there = "file://" + tempfile.mkdtemp(prefix="lodechain-")
         spark.sparkContext.setCheckpointDir(there)
