@@ -19,7 +19,6 @@ components still differ are then joined in full. So no group of near copies is e
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodechain.session import cut
+from lodechain.llm.common import runs
+from lodechain.session import Scratch
 
 WORDS = 5
 #: Threshold as a fraction, NUM / DEN.
@@ -39,9 +39,13 @@ MOST = 1 << 20
 LONGEST = 8
 #: Cost of verifying a candidate, in postings read.
 VERIFY = 50.0
-#: Ids that may be broadcast.
-FEW = 2_000_000
-FLUSH = 4_000_000
+#: Ids that may be broadcast; beyond it they are joined by a shuffle.
+FEW = 500_000
+#: Fingerprints that a task counts at once, and bytes of text that it reads at once.
+FLUSH = 1_000_000
+AT_ONCE = 2 << 20
+#: Components of a posting that meet in one task.
+MEETING = 128
 #: Rounds in which each document is verified against one partner, before the rest is joined in full.
 TURNS = 2
 
@@ -119,11 +123,18 @@ def least_overlap(n):
     return -(-NUM * n // DEN)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about ``AT_ONCE`` bytes of a column of texts."""
+    for b in batches:
+        for lo, hi in runs(b.column(column), AT_ONCE):
+            yield b.slice(lo, hi - lo)
+
+
 def _sets(rows: DataFrame) -> DataFrame:
     """(k, doc_id, n, c): c is the 128-bit hash of the set, null for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _pieces(batches, 2):
             sets = [shingles(t) for t in b.column(2).to_pylist()]
             made = [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(made, names=["k", "doc_id", "n", "c"])
@@ -151,7 +162,7 @@ def _read_blob(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(gaps, dtype=np.int64), np.frombuffer(blob, np.uint8, m, 1 + m * (size - 1))
 
 
-def _statistics(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _statistics(rows: DataFrame, scratch: Scratch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bitmap of fingerprints seen twice; the most frequent fingerprints, sorted; powers of two of their counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +172,7 @@ def _statistics(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             found = list(_count_blobs(held)) if size else []
             return pa.RecordBatch.from_arrays([pa.array([r for r, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], names=["r", "blob"])
 
-        for b in batches:
+        for b in _pieces(batches, 0):
             for t in b.column(0).to_pylist():
                 held.append((shingles(t) >> np.uint64(32)).astype(np.uint32))
                 size += len(held[-1])
@@ -172,29 +183,50 @@ def _statistics(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             yield flush()
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense, now = np.zeros(1 << LOW, np.int64), None
+        now, held, size, dense = None, [], 0, None
 
         def row():
-            at = np.flatnonzero(dense >= 4)
-            power = np.log2(dense[at]).astype(np.uint8)
-            bits = np.packbits(np.bitwise_or.reduce((dense >= 2).reshape(-1, 1 << BITS_OFF), axis=1))
-            fp = (at | now << LOW).astype(np.uint32)
-            return pa.RecordBatch.from_pylist([{"r": now, "bits": bits.tobytes(), "fp": fp.tobytes(), "power": power.tobytes(), "hist": np.bincount(power, minlength=64).tolist()}], pa.schema([("r", pa.int32()), ("bits", pa.binary()), ("fp", pa.binary()), ("power", pa.binary()), ("hist", pa.list_(pa.int64()))]))
+            nonlocal dense
+            if dense is None:  # few: by sorting
+                at, n = (np.concatenate(x) for x in zip(*held, strict=True))
+                order = np.argsort(at, kind="stable")
+                at, first = np.unique(at[order], return_index=True)
+                n = np.add.reduceat(n[order].astype(np.int64), first)
+            else:
+                fold()
+                at = np.flatnonzero(dense)
+                n = dense[at]
+            seen = np.zeros(1 << (LOW - BITS_OFF), bool)
+            seen[at[n >= 2] >> BITS_OFF] = True
+            at, n = at[n >= 4], n[n >= 4]
+            power = np.log2(n).astype(np.uint8)
+            dense = None
+            return pa.RecordBatch.from_pylist([{"r": now, "bits": np.packbits(seen).tobytes(), "fp": (at | now << LOW).astype(np.uint32).tobytes(), "power": power.tobytes(), "hist": np.bincount(power, minlength=64).tolist()}], pa.schema([("r", pa.int32()), ("bits", pa.binary()), ("fp", pa.binary()), ("power", pa.binary()), ("hist", pa.list_(pa.int64()))]))
+
+        def fold():
+            nonlocal dense, size
+            dense = np.zeros(1 << LOW, np.int64) if dense is None else dense
+            for at, n in held:
+                dense[at] += n
+            held.clear()
+            size = 0
 
         for b in batches:
             for r, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if r != now:
                     if now is not None:
                         yield row()
-                        dense[:] = 0
-                    now = r
-                at, n = _read_blob(blob)
-                dense[at] += n
+                    now, size = r, 0
+                    held.clear()
+                held.append(_read_blob(blob))
+                size += len(held[-1][0])
+                if size >= FLUSH:
+                    fold()
         if now is not None:
             yield row()
 
     blobs = rows.select("t").mapInArrow(count, "r int, blob binary")
-    sums = cut(blobs.repartition("r").sortWithinPartitions("r").mapInArrow(total, "r int, bits binary, fp binary, power binary, hist array<long>"))
+    sums = scratch.put(blobs.repartition("r").sortWithinPartitions("r").mapInArrow(total, "r int, bits binary, fp binary, power binary, hist array<long>"))
     hist = np.zeros(64, np.int64)
     for p, n in sums.select(F.posexplode("hist")).groupBy("pos").sum("col").collect():
         hist[p] = n
@@ -247,7 +279,7 @@ def _entries(rows: DataFrame, shared) -> DataFrame:
     """(h, k, n, level, ell, end_power, end_hash) of all prefix shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _pieces(batches, 1):
             h, k, n, level, ell, power, end = [], [], [], [], [], [], []
             for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingles(t)
@@ -264,39 +296,44 @@ def _entries(rows: DataFrame, shared) -> DataFrame:
     return rows.select("k", "t").mapInArrow(run, "h long, k long, n int, level short, ell short, end_power short, end_hash long")
 
 
-@lru_cache(maxsize=64)
-def _set_of(text: str) -> np.ndarray:
-    return shingles(text)
+def _among(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """``rows`` semi- or anti-joined with distinct row keys; these are broadcast behind a check of their number."""
+    return rows.join(F.broadcast(ids) if ids.count() <= FEW else ids, "k", how)
 
 
-def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of row keys whose texts are similar."""
-    pairs = cut(pairs)
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct())
-    texts = rows.select("k", "t").join(F.broadcast(ids) if ids.count() <= FEW else ids, "k", "left_semi")
+    pairs = scratch.put(pairs)
+    ids = scratch.put(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct())
+    texts = scratch.put(_among(rows.select("k", "t"), ids, "left_semi"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, first = None, shingles(None)
         for b in batches:
-            good = [similar(_set_of(x), _set_of(y)) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            t = pa.table([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-            yield from t.to_batches()
+            for lo, hi in runs(b.column(2), AT_ONCE):
+                p, good = b.slice(lo, hi - lo), []
+                for a, x, y in zip(p.column(0).to_pylist(), p.column(2).to_pylist(), p.column(3).to_pylist(), strict=True):
+                    if a != last:
+                        last, first = a, shingles(x)
+                    good.append(similar(first, shingles(y)))
+                yield from pa.table([p.column(0), p.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_())).to_batches()
 
-    both = pairs.join(texts.withColumnsRenamed({"k": "a", "t": "ta"}), "a").join(texts.withColumnsRenamed({"k": "b", "t": "tb"}), "b")
-    return cut(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
+    both = pairs.join(texts.withColumnsRenamed({"k": "b", "t": "tb"}), "b").join(texts.withColumnsRenamed({"k": "a", "t": "ta"}), "a")
+    return scratch.put(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(k, root): for every node of ``edges`` (a, b) the smallest node that it reaches, by minimum labels and pointer
     jumping; the number of rounds is logarithmic in practice, and each is written to the shared folder."""
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("k")).agg(F.least(F.min("b"), F.min("a")).alias("root")))
+    both = scratch.put(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
+    labels = scratch.put(both.groupBy(F.col("a").alias("k")).agg(F.least(F.min("b"), F.min("a")).alias("root")))
     while True:
         near = both.join(labels.select(F.col("k").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("k")).agg(F.min("r").alias("r"))
         lower = labels.join(near, "k").select("k", F.col("root").alias("old"), F.least("root", "r").alias("root"))
         up = labels.select(F.col("k").alias("root"), F.col("root").alias("above"))
-        new = cut(lower.join(up, "root", "left").select("k", "old", F.least("root", F.coalesce("above", "root")).alias("root")))
+        new = scratch.put(lower.join(up, "root", "left").select("k", "old", F.least("root", F.coalesce("above", "root")).alias("root")))
         labels = new.select("k", "root")
-        if not new.where("root <> old").limit(1).count():
+        if new.where("root <> old").isEmpty():
             return labels
 
 
@@ -304,42 +341,53 @@ def _length_ok(a: str, b: str):
     return (F.col(a) * DEN >= F.col(b) * NUM) & (F.col(b) * DEN >= F.col(a) * NUM)
 
 
-def _known(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The entries with their components, those of postings only that more than one component shares."""
-    known = entries.withColumn("root", F.col("k")) if labels is None else cut(entries.join(labels, "k", "left").withColumn("root", F.coalesce("root", "k")))
+def _known(entries: DataFrame, labels: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """The entries with their components (``root``), those of postings only that more than one component shares."""
+    known = entries.withColumn("root", F.col("k")) if labels is None else entries.join(labels, "k", "left").withColumn("root", F.coalesce("root", "k"))
     several = known.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h")
-    return cut(known.join(cut(several), "h", "left_semi"))
-
-
-def _near(members: DataFrame, turn: int) -> DataFrame:
-    """One partner (a) for each row key (b). Each posting names one of its sets by a hash that differs from posting to
-    posting and from turn to turn; of those named for a document, not in its component and not too long or short, the
-    one that it meets most often is taken."""
-    draw = F.struct(F.xxhash64("k", "h", F.lit(turn)).alias("x"), F.col("k").alias("a"), F.col("n").alias("pn"), F.col("root").alias("pr"))
-    named = members.groupBy("h").agg(F.min(draw).alias("p")).select("h", "p.a", "p.pn", "p.pr")
-    met = members.join(cut(named), "h").where((F.col("root") != F.col("pr")) & _length_ok("n", "pn")).groupBy("a", F.col("k").alias("b")).count()
-    return met.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
+    return scratch.put(known.join(several, "h", "left_semi"))
 
 
-def _far(members: DataFrame) -> DataFrame:
-    """All candidate pairs whose components differ.
+def _candidate(met: DataFrame) -> DataFrame:
+    """The pairs (a, b) of met postings (columns of both sides, numbered) that may be similar.
 
-    A pair must share l prefix shingles up to level l. Of the two prefixes, let x's end first in the global order:
-    whatever they share beyond the shared prefix shingles lies in x's rest, so those must be as many as the pair's
-    least overlap, 4 / 9 of both sizes, exceeds that rest.
+    A pair must share l prefix shingles up to level l, the smaller l of the two. Of the two prefixes, let x's end first
+    in the global order: whatever they share beyond the shared prefix shingles lies in x's rest, so those must be as
+    many as the pair's least overlap, 4 / 9 of both sizes, exceeds that rest.
     """
-    roots = members.select("h", "root").distinct()
-    meets = cut(roots.withColumnRenamed("root", "r1").join(roots.withColumnRenamed("root", "r2"), "h").where("r1 < r2"))
-    x, y = (members.withColumnsRenamed({c: f"{c}{i}" for c in ("k", "n", "level", "ell", "end_power", "end_hash")} | {"root": f"r{i}"}) for i in (1, 2))
     ell = F.least("ell1", "ell2")
     rest = lambda i: F.ceil(F.col(f"n{i}") * NUM / DEN) - F.col(f"ell{i}")
     ends_first = F.struct("end_power1", "end_hash1") <= F.struct("end_power2", "end_hash2")
     least = F.ceil((F.col("n1") + F.col("n2")) * NUM / (NUM + DEN)) - F.when(ends_first, rest(1)).otherwise(rest(2))
-    met = meets.join(x, ["h", "r1"]).join(y, ["h", "r2"]).where(_length_ok("n1", "n2"))
-    met = met.select("k1", "k2", ((F.col("level1") <= ell) & (F.col("level2") <= ell)).cast("int").alias("in_level"), ell.alias("ell"), least.alias("least"))
+    met = met.where(_length_ok("n1", "n2")).select("k1", "k2", ((F.col("level1") <= ell) & (F.col("level2") <= ell)).cast("int").alias("in_level"), ell.alias("ell"), least.alias("least"))
     counted = met.groupBy("k1", "k2").agg(F.count("*").alias("shared"), F.sum("in_level").alias("in_level"), F.first("ell").alias("ell"), F.first("least").alias("least"))
-    counted = counted.where((F.col("in_level") >= F.col("ell")) & (F.col("shared") >= F.col("least")))
-    return counted.select(F.col("k1").alias("a"), F.col("k2").alias("b"))
+    return counted.where((F.col("in_level") >= F.col("ell")) & (F.col("shared") >= F.col("least")))
+
+
+_SIDE = ("k", "n", "level", "ell", "end_power", "end_hash")
+
+
+def _near(members: DataFrame, turn: int) -> DataFrame:
+    """One partner (a) for each row key (b) that has one. Each posting names the set that a hash of its key, different
+    from turn to turn, puts first, so that similar sets mostly agree on a name; of those named for a document, outside
+    its component, that pass the multi-match test, the one that it meets most often is taken."""
+    one = F.struct(F.xxhash64("k", F.lit(turn)).alias("x"), *_SIDE, "root")
+    named = members.groupBy("h").agg(F.min(one).alias("p")).select("h", *[F.col(f"p.{c}").alias(f"{c}1") for c in _SIDE], F.col("p.root").alias("r1"))
+    met = members.withColumnsRenamed({c: f"{c}2" for c in _SIDE}).join(named, "h").where("root <> r1")
+    return _candidate(met).groupBy(F.col("k2").alias("b")).agg(F.max_by("k1", F.struct("shared", "k1")).alias("a")).select("a", "b")
+
+
+def _far(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """All candidate pairs whose components differ. The components of a posting meet in blocks of ``MEETING``, so that a
+    frequent posting is dealt over many tasks."""
+    roots = members.select("h", "root").distinct()
+    blocks = F.ceil(F.count("*") / MEETING).cast("int")
+    roots = scratch.put(roots.join(members.groupBy("h").agg(blocks.alias("blocks")), "h"))
+    left = roots.select("h", F.col("root").alias("r1"), F.pmod(F.xxhash64("root"), F.col("blocks")).cast("int").alias("block"))
+    right = roots.select("h", F.col("root").alias("r2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    meets = left.join(right, ["h", "block"]).where("r1 < r2").select("h", "r1", "r2")
+    x, y = (members.withColumnsRenamed({c: f"{c}{i}" for c in _SIDE} | {"root": f"r{i}"}) for i in (1, 2))
+    return _candidate(meets.join(x, ["h", "r1"]).join(y, ["h", "r2"])).select(F.col("k1").alias("a"), F.col("k2").alias("b"))
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -357,39 +405,42 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 def _placed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(k, doc_id, n, first) of each row: ``first`` is the (doc_id, k) of its component that is smallest, null where the
     row has no shingles or no row of the component an id."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "jaccard")
     rows = docs.select(F.xxhash64(doc_id, text).alias("k"), F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
-    sets = cut(_sets(rows))
+    sets = scratch.put(_sets(rows))
     named = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "k"))).alias("first")
-    classes = cut(sets.where("n > 0").groupBy("c").agg(F.min("k").alias("k"), named, F.count("*").alias("f")))
+    classes = scratch.put(sets.where("n > 0").groupBy("c").agg(F.min("k").alias("k"), named, F.count("*").alias("f")))
     more = sets.where("n > 0").join(classes.where("f > 1").select("c", F.col("k").alias("one")), "c").where("k <> one").select("k")
-    copies = cut(more.distinct())
-    alone = rows.join(F.broadcast(copies) if copies.count() <= FEW else copies, "k", "left_anti")
-    shared = docs.sparkSession.sparkContext.broadcast(_statistics(alone))
-    entries = cut(_entries(alone, shared))
-    labels, links, members = None, None, _known(entries, None)
+    alone = _among(rows, scratch.put(more.distinct()), "left_anti")
+    shared = spark.sparkContext.broadcast(_statistics(alone, scratch))
+    entries = scratch.put(_entries(alone, shared))
+    shared.unpersist()
+    members, links = _known(entries, None, scratch), None
     for turn in range(TURNS):
-        found = _verified(_near(members, turn), alone)
+        found = _verified(_near(members, turn), alone, scratch)
         links = found if links is None else links.union(found)
-        labels = components(links)
-        members = _known(entries, labels)
-    far = _verified(_far(members), alone)
-    roots = components(links.union(far))
-    placed = classes.join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
+        members = _known(members.drop("root"), components(links, scratch), scratch)
+    far = _verified(_far(members, scratch), alone, scratch)
+    placed = classes.join(components(links.union(far), scratch), "k", "left").withColumn("root", F.coalesce("root", "k"))
     smallest = placed.groupBy("root").agg(F.min("first").alias("first"))
-    of_class = cut(placed.drop("first").join(smallest, "root").select("c", "first"))
-    return sets.join(of_class, "c", "left").select("k", "doc_id", "n", "first")
+    of_class = placed.drop("first").join(smallest, "root").select("c", "first")
+    out = Scratch(spark, "components").put(sets.join(of_class, "c", "left").select("k", "doc_id", "n", "first"))
+    scratch.drop()
+    return out
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each component: one with the component's id, and of texts that clash on it the one with
-    the smallest row key. Rows without shingles or id stay; of repeated rows (equal id and text) one stays."""
-    placed = cut(_placed(docs, doc_id, text).where("n > 0 and doc_id is not null").select("k", (F.col("k") != F.col("first.k")).alias("gone")))
-    gone = cut(placed.where("gone").select(F.col("k").alias("__gone")).distinct())
-    twice = cut(placed.where("not gone").groupBy(F.col("k").alias("__twice")).count().where("count > 1").select("__twice"))
-    keyed = docs.withColumn("__key", F.xxhash64(doc_id, text))
-    left = keyed.join(F.broadcast(gone) if gone.count() <= FEW else gone, F.col("__key") == F.col("__gone"), "left_anti")
-    if not twice.count():
-        return left.drop("__key")
-    near = F.broadcast(twice) if twice.count() <= FEW else twice
-    again = F.col("__key") == F.col("__twice")
-    return left.join(near, again, "left_anti").union(left.join(near, again, "left_semi").dropDuplicates(["__key"])).drop("__key")
+    the smallest row key. Rows without shingles or id stay; of repeated rows (equal id and text) one stays. Columns may
+    have any names; those of ``docs`` come back unchanged."""
+    placed = _placed(docs, doc_id, text).where("n > 0 and doc_id is not null").select("k", (F.col("k") != F.col("first.k")).alias("gone"))
+    scratch = Scratch(docs.sparkSession, "kept")
+    gone = scratch.put(placed.where("gone").select("k").distinct())
+    twice = scratch.put(placed.where("not gone").groupBy("k").count().where("count > 1").select("k"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(F.xxhash64(doc_id, text).alias("k"), whole)
+    left = _among(keyed, gone, "left_anti")
+    if not twice.isEmpty():
+        left = _among(left, twice, "left_anti").union(_among(left, twice, "left_semi").dropDuplicates(["k"]))
+    return left.select("row.*")
