@@ -75,6 +75,14 @@ def append_columns(df: DataFrame, fn: Callable[[dict[str, pa.Array]], list[Itera
     return df.mapInArrow(run, T.StructType(kept + fields))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has."""
+    taken, mark = {c.lower() for c in df.columns}, "_"
+    while any(c.startswith(mark) for c in taken):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def text_key(c) -> F.Column:
     """Identity of a text (null counts as empty): its SHA-256."""
     return F.sha2(F.coalesce(c, F.lit("")), 256)

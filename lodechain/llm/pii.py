@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodechain.llm.common import text_key
+from lodechain.llm.common import fresh, text_key
 from lodechain.llm.spans import Kind, listed, number, running, with_spans
 from lodechain.session import cut
 
@@ -112,31 +112,35 @@ def term_spans(docs: DataFrame, generalise_at: float = 0.8, remove_at: float = 0
     return worst.groupBy("k", "key").agg(F.array_sort(F.collect_list(span)).alias("terms"))
 
 
-def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **thresholds) -> DataFrame:
+def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spans: str = "spans", terms: str = "terms", **thresholds) -> DataFrame:
     """``docs`` with ``spans`` (base) and ``terms`` (added by the method), arrays of (start, kind_order, end, kind,
     value). Positions count code points, ends are exclusive. Null and empty texts have none; repeated rows get the
-    same spans each; a null id is an id like any other; columns named spans or terms are replaced."""
-    terms = cut(term_spans(docs, doc_id=doc_id, text=text, **thresholds))
-    rows = base_spans(docs.drop("spans", "terms"), text).withColumns({"__k": F.xxhash64(doc_id), "__key": text_key(F.col(text))})
-    joined = rows.join(terms.withColumnsRenamed({"k": "__k", "key": "__key"}), ["__k", "__key"], "left").drop("__k", "__key")
-    return joined.withColumn("terms", F.coalesce("terms", F.array().cast(terms.schema["terms"].dataType)))
+    same spans each; a null id is an id like any other; columns named like the outputs are replaced, all others stay;
+    an empty table gives an empty result. Texts are read whole; a text with n matches costs about n * sqrt(n) steps."""
+    found = cut(term_spans(docs, doc_id=doc_id, text=text, **thresholds))
+    k, key = fresh(docs, "k", "key")
+    rows = base_spans(docs.drop(terms), text, spans).withColumns({k: F.xxhash64(doc_id), key: text_key(F.col(text))})
+    joined = rows.join(found.withColumnsRenamed({"k": k, "key": key, "terms": terms}), [k, key], "left").drop(k, key)
+    return joined.withColumn(terms, F.coalesce(terms, F.array().cast(found.schema["terms"].dataType)))
 
 
 def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **thresholds) -> DataFrame:
     """``docs`` with mentions replaced by their kind in brackets, disclosing words generalised or removed. Spans that
-    overlap an earlier one are covered by it up to the later end. Texts without spans stay as they are."""
-    found = find(docs, doc_id, text, **thresholds)
-    every = F.array_sort(F.concat(F.transform("spans", lambda s: s.withField("value", F.concat(F.lit("["), s["kind"], F.lit("]")))), F.col("terms")))
+    overlap an earlier one are covered by it up to the later end. Texts without spans, null and empty ones stay as they
+    are, as do all other columns, whatever their names; an empty table gives an empty result."""
+    base, terms, whole = fresh(docs, "spans", "terms", "all")
+    found = find(docs, doc_id, text, base, terms, **thresholds)
+    every = F.array_sort(F.concat(F.transform(base, lambda s: s.withField("value", F.concat(F.lit("["), s["kind"], F.lit("]")))), F.col(terms)))
     step = lambda acc, s: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] > s["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.try_element_at(acc, F.lit(-1)).withField("end", F.greatest(F.try_element_at(acc, F.lit(-1))["end"], s["end"]))))).otherwise(F.concat(acc, F.array(s)))
-    found = found.withColumn("__all", every)
-    kind = found.schema["__all"].dataType
-    found = found.withColumn("__all", F.aggregate("__all", F.array().cast(kind), step))
+    found = found.withColumn(whole, every)
+    kind = found.schema[whole].dataType
+    found = found.withColumn(whole, F.aggregate(whole, F.array().cast(kind), step))
     t = F.col(text)
-    end_before = lambda i: F.when(i > 0, F.col("__all")[F.greatest(i - 1, F.lit(0))]["end"]).otherwise(0)
-    parts = F.transform("__all", lambda s, i: F.concat(t.substr(end_before(i) + 1, s["start"] - end_before(i)), s["value"]))
-    rest = t.substr(F.try_element_at("__all", F.lit(-1))["end"] + 1, F.length(t))
-    made = F.when(F.size("__all") > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(t)
-    return found.withColumn(text, made).drop("__all", "spans", "terms")
+    end_before = lambda i: F.when(i > 0, F.col(whole)[F.greatest(i - 1, F.lit(0))]["end"]).otherwise(0)
+    parts = F.transform(whole, lambda s, i: F.concat(t.substr(end_before(i) + 1, s["start"] - end_before(i)), s["value"]))
+    rest = t.substr(F.try_element_at(whole, F.lit(-1))["end"] + 1, F.length(t))
+    made = F.when(F.size(whole) > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(t)
+    return found.withColumn(text, made).drop(whole, base, terms)
 
 
 def digest(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodechain.llm.common import fresh
+
 BLOCK = 64
 
 
@@ -37,9 +39,9 @@ def running(lengths: Column) -> Column:
     return F.when(F.size(lengths) <= BLOCK, small).otherwise(large)
 
 
-def _kept(i: int, k: Kind) -> Column:
+def _kept(i: int, k: Kind, v: str, e: str, g: str) -> Column:
     """The matches of one kind that pass its test, as structs."""
-    rows = F.arrays_zip(F.col(f"__v{i}").alias("v"), F.col(f"__e{i}").alias("e"), F.col(f"__g{i}" if k.group else f"__v{i}").alias("g"))
+    rows = F.arrays_zip(F.col(v).alias("v"), F.col(e).alias("e"), F.col(g).alias("g"))
     if k.keep:
         rows = F.filter(rows, lambda r: k.keep(r["g"]))
     return F.transform(rows, lambda r: F.struct((r["e"] - F.length(r["v"])).alias("start"), F.lit(i).alias("kind_order"), r["e"].alias("end"), F.lit(k.name).alias("kind"), r["v"].alias("value")))
@@ -47,21 +49,22 @@ def _kept(i: int, k: Kind) -> Column:
 
 def with_spans(df: DataFrame, text: str, kinds: list[Kind], out: str = "spans") -> DataFrame:
     """``df`` with an array of structs (start, kind_order, end, kind, value) of all matches that pass, by start, then
-    kind. A null text has none. Narrow; stays in the JVM."""
+    kind. A null or empty text has none; a column named like the output is replaced, all others stay, whatever their
+    names. Narrow; stays in the JVM."""
     t = F.col(text)
+    names = [fresh(df, f"v{i}", f"p{i}", f"g{i}", f"e{i}") for i in range(len(kinds))]
     made: dict[str, Column] = {}
     none = F.array().cast("array<string>")
-    for i, k in enumerate(kinds):
+    for k, (v, p, g, _) in zip(kinds, names, strict=True):
         hit = F.coalesce(t.rlike(k.pattern), F.lit(False))
-        made[f"__v{i}"] = F.when(hit, F.regexp_extract_all(t, F.lit(k.pattern), F.lit(0))).otherwise(none)
-        made[f"__p{i}"] = F.when(hit, F.split(t, k.pattern, -1)).otherwise(none)
+        made[v] = F.when(hit, F.regexp_extract_all(t, F.lit(k.pattern), F.lit(0))).otherwise(none)
+        made[p] = F.when(hit, F.split(t, k.pattern, -1)).otherwise(none)
         if k.group:
-            made[f"__g{i}"] = F.when(hit, F.regexp_extract_all(t, F.lit(k.pattern), F.lit(k.group))).otherwise(none)
+            made[g] = F.when(hit, F.regexp_extract_all(t, F.lit(k.pattern), F.lit(k.group))).otherwise(none)
     df = df.withColumns(made)
-    df = df.withColumns({f"__e{i}": running(F.zip_with(F.slice(f"__p{i}", 1, F.size(f"__v{i}")), F.col(f"__v{i}"), lambda p, v: F.length(p) + F.length(v))) for i in range(len(kinds))})
-    found = [_kept(i, k) for i, k in enumerate(kinds)]
-    df = df.withColumn(out, F.array_sort(F.concat(*found)))
-    return df.drop(*[c for c in df.columns if c[:3] in ("__v", "__p", "__g", "__e")])
+    df = df.withColumns({e: running(F.zip_with(F.slice(p, 1, F.size(v)), F.col(v), lambda a, b: F.length(a) + F.length(b))) for v, p, _, e in names})
+    found = [_kept(i, k, v, e, g if k.group else v) for i, (k, (v, _, g, e)) in enumerate(zip(kinds, names, strict=True))]
+    return df.withColumn(out, F.array_sort(F.concat(*found))).drop(*[n for four in names for n in four])
 
 
 def listed(spans: Column) -> Column:
