@@ -27,10 +27,8 @@ BUCKET_ROWS = 1024
 
 def quotas(counts: dict[str, int], weights: dict[str, float] | None, period: int, exponent: float) -> dict[str, int]:
     """Slots a period of each source: proportional to ``weights`` or, without them, to count ** exponent; largest
-    remainders, one slot at least. A source that ``weights`` lacks, or gives 0, counts as the smallest."""
-    period_needed = len(counts)
-    if period < period_needed:
-        raise ValueError(f"{period_needed} sources need a period of as many slots at least")
+    remainders, one slot at least; with more sources than slots the period grows to their number. A source that ``weights`` lacks, or gives 0, counts as the smallest."""
+    period = max(period, len(counts))
     share = {s: float((weights or {}).get(s, 0.0)) if weights else n**exponent for s, n in counts.items()}
     total = sum(share.values()) or 1.0
     exact = {s: v / total * period for s, v in share.items()}
@@ -67,19 +65,29 @@ def _literal(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
 
-def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 16, period: int = 1000, exponent: float = 0.7, source: str = "source", doc_id: str = "doc_id") -> DataFrame:
+def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 16, period: int = 1000, exponent: float = 0.7, source: str = "source", doc_id: str = "doc_id", repeat: bool = True) -> DataFrame:
     """``docs`` with ``position`` (from 0, its place in the mixed stream), ``slot``, ``block`` (of its source) and
     ``epoch``; a document has a row for each time the stream uses it.
 
-    A null source is a source by itself. Repeated rows and null ids are documents like others. An empty table gives an
-    empty stream. ``period`` must be at least the number of sources, which bounds the plan. The last round of a source
-    may be cut short where the stream ends.
+    A null source is a source by itself. Repeated rows and null ids are documents like others; texts are not read. An
+    empty table gives an empty stream. The plan holds ``period`` slots or one for each source, if these are more. The
+    last round of a source may be cut short where the stream ends. Without ``repeat`` a source that is used up drops
+    out: each document has one row, and the places of further rounds stay empty. Columns named like the outputs are
+    replaced.
     """
-    spark, made = docs.sparkSession, ("position", "slot", "block", "epoch")
-    rows = docs.drop(*made).withColumns({"__s": F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null")), "__h": F.xxhash64(doc_id, source)})
+    made = ("position", "slot", "block", "epoch")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in made]
+    whole = docs.select(F.struct(*kept).alias("row"), F.col(source).alias("source"), F.col(doc_id).alias("doc_id"))
+    return _schedule(whole, weights, block, period, exponent, repeat).select("row.*", *made)
+
+
+def _schedule(docs: DataFrame, weights: dict[str, float] | None, block: int, period: int, exponent: float, repeat: bool) -> DataFrame:
+    """``row`` with its places, from (row, source, doc_id)."""
+    spark, source, doc_id, made = docs.sparkSession, "source", "doc_id", ("position", "slot", "block", "epoch")
+    rows = docs.withColumns({"__s": F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("null")), "__h": F.xxhash64(doc_id, source)})
     counts = {r["__s"]: r["count"] for r in rows.groupBy("__s").count().collect()}
     slots = quotas(counts, weights and {f"={s}": w for s, w in weights.items()}, period, exponent) if counts else {}
-    steps = plan(slots)
+    steps, period = plan(slots), sum(slots.values()) or period
     where = {(s, j): t for s, j, t in steps}
     last = lambda s: (b := ceil(counts[s] / block) - 1) // slots[s] * period + where[s, b % slots[s]]
     end = 1 + max(map(last, counts), default=-1)
@@ -92,14 +100,17 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block: in
     inside = Window.partitionBy("__s", "__b").orderBy("__h", F.col(doc_id).asc_nulls_first())
     ranked = dealt.withColumn("__r", F.row_number().over(inside) - 1).join(offsets, ["__s", "__b"]).withColumn("__r", F.col("__r") + F.col("__before"))
     rounds = F.floor((F.lit(end) / period * F.col("__a") + 1) * block / F.col("__n")) + 1
-    used = ranked.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), rounds)))
+    first = F.lit(0).cast("long")
+    used = ranked.withColumn("epoch", F.explode(F.sequence(first, rounds)) if repeat else first)
     index = F.col("epoch") * F.col("__n") + F.col("__r")
     placed = used.withColumns({"block": F.floor(index / block), "__o": index % block}).withColumn("__j", F.col("block") % F.col("__a"))
     placed = placed.join(F.broadcast(slot_of), ["__s", "__j"]).withColumn("slot", F.floor(F.col("block") / F.col("__a")) * period + F.col("__at")).where(F.col("slot") < end)
-    return placed.withColumn("position", F.col("slot") * block + F.col("__o")).select(*docs.drop(*made).columns, *made)
+    return placed.withColumn("position", F.col("slot") * block + F.col("__o")).select("row", *made)
 
 
-def mix(docs: DataFrame, **settings) -> DataFrame:
-    """The columns of ``docs`` in the order of the mixed stream: files and rows within them ascend by position."""
-    placed = schedule(docs, **settings)
-    return placed.repartitionByRange("position").sortWithinPartitions("position").select(*[c for c in docs.columns if c not in ("position", "slot", "block", "epoch")])
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = 16, period: int = 1000, exponent: float = 0.7, source: str = "source", doc_id: str = "doc_id", repeat: bool = True) -> DataFrame:
+    """``docs`` in the order of the mixed stream: files and rows within them ascend by position. All columns stay as
+    they are, whatever their names; nulls, repeats and empty tables are as in ``schedule``."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source).alias("source"), F.col(doc_id).alias("doc_id"))
+    placed = _schedule(whole, weights, block, period, exponent, repeat)
+    return placed.repartitionByRange("position").sortWithinPartitions("position").select("row.*")
