@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodechain.llm.common import append_columns
+from lodechain.llm.common import AT_ONCE, append_columns, runs
 
 ORDERS = (2, 3, 4, 5)
 BITS = 20
@@ -118,26 +118,31 @@ def fit(texts: list[str], toxic: list[int], smoothing: float = 1.0, selected: in
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, max_rows: int, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """(k, t, y): at most ``max_rows`` labelled rows' texts, those with the smallest hashes of their id. Rows without a
-    label, id or text take no part."""
-    chosen = (
-        labels.select(F.col(doc_id).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y is not null").withColumn("h", F.xxhash64("k")).orderBy("h", "k", "y").limit(max_rows).select("k", "y")
-    )
-    return docs.select(F.col(doc_id).alias("k"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(chosen), "k").select("k", "t", "y")
+    """(h, k, t, y): at most ``max_rows`` labelled rows' texts, those with the smallest hashes of their id; of rows that
+    share an id, too, no more. Rows without a label, id or text take no part."""
+    order = ("h", "k", "y")
+    chosen = labels.select(F.col(doc_id).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y is not null").withColumn("h", F.xxhash64("k")).orderBy(*order).limit(max_rows)
+    found = docs.select(F.col(doc_id).alias("k"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(chosen.distinct()), "k")
+    return found.orderBy(*order, F.xxhash64("t")).limit(max_rows).select("h", "k", "t", "y")
 
 
-def train(sample: DataFrame) -> Model:
-    """``fit`` on a bounded sample, in one task, so that the driver holds the model only."""
+def train(sample: DataFrame, max_bytes: int = 256 << 20) -> Model:
+    """``fit`` on a bounded sample, in one task, so that the driver holds the model only. Whole texts are taken in order
+    of their ids' hashes until the next would exceed ``max_bytes`` in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, toxic = [], []
+        texts, toxic, size = [], [], 0
         for b in batches:
-            texts += b.column(0).to_pylist()
-            toxic += [int(y != 0) for y in b.column(1).to_pylist()]
+            for lo, hi in runs(b.column(0), AT_ONCE):
+                for t, y in zip(b.column(0)[lo:hi].to_pylist(), b.column(1)[lo:hi].to_pylist(), strict=True):
+                    size += len(t.encode("utf-8", "surrogatepass"))
+                    if size <= max_bytes:
+                        texts.append(t)
+                        toxic.append(int(y != 0))
         m = fit(texts, toxic)
         yield pa.RecordBatch.from_arrays([pa.array([m.buckets.astype(np.int64).tobytes()]), pa.array([m.weights.astype(np.float64).tobytes()]), pa.array([m.bias])], names=["buckets", "weights", "bias"])
 
-    ordered = sample.repartition(1).sortWithinPartitions("k", "y", F.sha2("t", 256)).select("t", "y")
+    ordered = sample.repartition(1).sortWithinPartitions("h", "k", "y", F.sha2("t", 256)).select("t", "y")
     found = ordered.mapInArrow(run, "buckets binary, weights binary, bias double").collect()
     if not found:
         return fit([], [])
@@ -164,7 +169,10 @@ def classify(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, doc_id: s
     """``docs`` with ``held_out``, ``score`` and ``predicted``.
 
     Labels are learnt only from rows whose crc32 of the id (as text) modulo 5 is not 0; the others are ``held_out``. A
-    row without an id is not held out. Repeated rows are scored alike, each once.
+    row without an id is not held out. Repeated rows are scored alike, each once. Null and empty texts get the score of
+    no feature; texts are read whole, in blocks. An empty table gives an empty result; without usable labels every score
+    is 1/2. Columns named like the outputs are replaced, others stay. The sample is bounded by ``max_rows`` and by
+    ``max_bytes`` of ``train``; that features must pass a significance test is part of the model.
     """
     fold = F.crc32(F.col(doc_id).cast("string")) % 5
     model = train(training_sample(docs, labels.where(fold != 0), max_rows, doc_id, text, label))
