@@ -27,6 +27,10 @@ ADDED = [
 ]
 
 
+#: Versions to pass over that may be broadcast.
+FEW = 200_000
+
+
 def rule_version(rules: list[Kind]) -> str:
     """Changes whenever a pattern does."""
     return hashlib.sha256("\n".join(f"{k.name} {k.pattern} {k.group}" for k in rules).encode()).hexdigest()[:16]
@@ -34,14 +38,18 @@ def rule_version(rules: list[Kind]) -> str:
 
 def scan_blobs(versions: DataFrame, ledger: DataFrame | None = None, rules: list[Kind] | None = None, path: str = "path", text: str = "text") -> DataFrame:
     """New ledger rows (blob, rule_version, spans) for the blobs of ``versions`` that ``ledger`` has not seen under
-    these rules. A null text is the empty blob. Only unseen blobs' texts are moved or scanned, each once."""
+    these rules. A null text is the empty blob. Of each unseen blob one version, the carrier, is scanned. The versions to
+    pass over (seen, or not the carrier) are broadcast behind a check of their number, and then no text is moved; where
+    they are more, the carriers' texts are joined by a shuffle."""
     rules = rules or BASE + ADDED
     version = rule_version(rules)
     rows = versions.select(F.coalesce(F.xxhash64(path), F.lit(0)).alias("k"), text_key(F.col(text)).alias("blob"), F.col(text).alias("t"))
     carriers = rows.groupBy("blob").agg(F.min("k").alias("k"))
     if ledger is not None:
         carriers = carriers.join(ledger.where(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
-    unseen = rows.join(carriers.hint("shuffle_hash"), ["k", "blob"])
+    carriers = cut(carriers)
+    passed = cut(rows.select("k", "blob").join(carriers, ["k", "blob"], "left_anti").distinct())
+    unseen = rows.join(F.broadcast(passed), ["k", "blob"], "left_anti") if passed.count() <= FEW else rows.join(carriers.hint("shuffle_hash"), ["k", "blob"])
     found = with_spans(unseen, "t", rules).select("blob", "spans")
     return found.groupBy("blob").agg(F.first("spans").alias("spans")).select("blob", F.lit(version).alias("rule_version"), "spans")
 
@@ -57,7 +65,8 @@ def join_paths(versions: DataFrame, ledger: DataFrame, text: str = "text", rules
 
 def scan(versions: DataFrame, ledger: DataFrame | None = None, path: str = "path", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """One round: the versions with their findings, and the ledger with the new rows added (both for the default
-    rules). Repeated rows keep their findings; an empty table gives an empty result and the old ledger."""
+    rules). Repeated rows keep their findings; a null path is a path like others; texts are read whole; an empty table
+    gives an empty result and the old ledger; only ``path`` and ``text`` are read."""
     new = cut(scan_blobs(versions, ledger, path=path, text=text))
     whole = new if ledger is None else ledger.unionByName(new)
     return join_paths(versions.select(path, text), whole, text), whole
