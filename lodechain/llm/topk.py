@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodechain.session import cut
+from lodechain.session import Scratch, cut
 
 #: Queries in a pass are bounded by so many bytes of rotated vectors.
 GROUP_BYTES = 64 << 20
 SEEDS = 2048
 BLOCK = 1024
+#: Queries that meet a block of candidates at once.
+TILE = 4096
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -92,11 +94,12 @@ def search_block(best: Best, queries: dict, x: np.ndarray, ids: np.ndarray, turn
     if not len(active):
         return False
     rest = np.sqrt((y[:, head:] ** 2).sum(1))
-    bound = queries["turned"][active, :head] @ y[:, :head].T + np.outer(queries["rest"][active], rest)
-    qi, ci = np.nonzero(bound + slack[active, None] >= best.floor[active, None])
-    for lo in range(0, len(qi), 1 << 16):
-        q, c = active[qi[lo : lo + (1 << 16)]], ci[lo : lo + (1 << 16)]
-        best.add(q, _exact(queries["x"][q], x[c]), ids[c])
+    for some in np.split(active, range(TILE, len(active), TILE)):
+        bound = queries["turned"][some, :head] @ y[:, :head].T + np.outer(queries["rest"][some], rest)
+        qi, ci = np.nonzero(bound + slack[some, None] >= best.floor[some, None])
+        for lo in range(0, len(qi), 1 << 16):
+            q, c = some[qi[lo : lo + (1 << 16)]], ci[lo : lo + (1 << 16)]
+            best.add(q, _exact(queries["x"][q], x[c]), ids[c])
     return True
 
 
@@ -105,7 +108,7 @@ def prepare(x: np.ndarray, turn: np.ndarray, head: int) -> dict:
     return {"x": x, "turned": y, "norm": np.sqrt((y * y).sum(1)), "rest": np.sqrt((y[:, head:] ** 2).sum(1))}
 
 
-def _search(vectors: DataFrame, is_query: Column, k: int, d: int) -> list[DataFrame]:
+def _search(vectors: DataFrame, is_query: Column, k: int, d: int, scratch: Scratch) -> list[DataFrame]:
     spark = vectors.sparkSession
     turn, head = rotation(vectors, d), max(1, d // 4)
     ordered = cut(vectors.repartitionByRange(F.col("norm2").desc(), "id").sortWithinPartitions(F.col("norm2").desc(), "id"))
@@ -137,7 +140,8 @@ def _search(vectors: DataFrame, is_query: Column, k: int, d: int) -> list[DataFr
                         break
             yield pa.RecordBatch.from_arrays([pa.array(ids[best.q]), pa.array(best.v, pa.int64()), pa.array(best.s, pa.int64())], names=["query_id", "vec_id", "score"])
 
-        out.append(ordered.select("id", "x").mapInArrow(run, FOUND))
+        out.append(scratch.put(ordered.select("id", "x").mapInArrow(run, FOUND)))
+        shared.destroy()  # one group's queries at a time
     return out
 
 
@@ -147,13 +151,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id",
 
     Vectors that are null or hold null or non-finite components, and rows without an id, take no part. Vectors meet
     those of their own length only. A repeated query id asks once, with its smallest vector; repeated candidates each
-    count; a row never meets its own id. An empty table gives an empty result.
+    count; a row never meets its own id. An empty table gives an empty result. Other columns are not read. Vectors so long
+    that an integer product might not fit into 64 bits are an error.
     """
     good = vectors.select(F.col(id).cast("long").alias("id"), quantise(F.col(embedding)).alias("x")).where("id is not null and x is not null")
     good = good.withColumn("norm2", F.aggregate("x", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))
-    found = []
-    for (d,) in sorted(good.select(F.size("x").alias("d")).distinct().collect()):
-        found += _search(good.where(F.size("x") == d), is_query, k, d)
+    found, scratch = [], Scratch(vectors.sparkSession, "topk")
+    for d, longest in sorted(good.groupBy(F.size("x").alias("d")).agg(F.max("norm2")).collect()):
+        if longest >= 2.0**62:
+            raise ValueError("inner products of these vectors may exceed 64 bits")
+        found += _search(good.where(F.size("x") == d), is_query, k, d, scratch)
     if not found:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     every = found[0]
