@@ -352,7 +352,7 @@ def encode(df: DataFrame, text: str = "text", vocab: str = DEFAULT_VOCAB, patter
         return [*out, [c.decode(x) for x in out[0].to_pylist()]] if decoded else out
 
     fields = [T.StructField(ids, T.BinaryType()), T.StructField(n_tokens, T.LongType())]
-    return append_columns(df, run, fields + [T.StructField(decoded, T.BinaryType())] * bool(decoded), [text])
+    return append_columns(df, run, fields + ([T.StructField(decoded, T.BinaryType())] if decoded else []), [text])
 
 
 def decode(df: DataFrame, ids: str = "ids", vocab: str = DEFAULT_VOCAB, out: str = "decoded") -> DataFrame:

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -83,9 +84,9 @@ def test_media_payload_with_an_id3v1_mark(n):
 
 def test_token_files(spark, docs, none):
     enc = tokenfile.encoder("word_bpe_49k.json")
-    odd = ["It's  a\ttest\x1c don't 'S !!'s é’s ÀB,x İst ΣΑΣ, ﬁ ½ 12a <|endoftext|> é, a,́ ́ a\xa0b c", "", " ", "\n", "x" * 100 + "é."]
+    odd = ["ſ'sİ!! İ. aİ, A<|ENDOFTEXT|>b", "It's  a\ttest\x1c don't 'S !!'s é’s ÀB,x İst ΣΑΣ, ﬁ ½ 12a <|endoftext|> é, a,́ ́ a\xa0b c", "", " ", "\n", "x" * 100 + "é."]
     for t in odd:
-        assert enc.encode([t])[0] == np.array(enc.tokenizer.encode(t, add_special_tokens=False).ids, enc.dtype).tobytes()
+        assert enc.encode(pa.array([t]))[0].tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
     manifest = tokenfile.write(docs, tokenfile.new_folder(spark, "t"))
     got = tokenfile.read(spark, manifest, with_ids=True).orderBy("start").collect()
     assert [r.doc_id for r in got] == sorted([i for i, _ in TEXTS], key=lambda x: (x is not None, x))
@@ -120,6 +121,9 @@ def test_pii_edges(docs, none):
     clean = [(r.doc_id, r.text) for r in pii.sanitise(docs).collect()]
     assert (1, "Mail [email] now") in clean and (2, None) in clean and len(clean) == len(TEXTS)
     assert pii.find(none).count() == 0
+    clashing = docs.select("doc_id", "text", *[F.lit(c).alias(c) for c in ("spans", "terms", "_k", "_v0", "__v0", "__key", "__all")])
+    assert pii.sanitise(clashing).columns == clashing.columns
+    assert all(r[2:] == tuple(clashing.columns[2:]) for r in pii.sanitise(clashing).collect())
 
 
 def test_secret_edges(spark, none):
@@ -139,7 +143,12 @@ def test_mixing_edges(spark, docs, none):
     placed = mixing.schedule(docs, block=2, period=10).collect()
     assert len({(r.doc_id, r.text) for r in placed}) == len({(i, t) for i, t in TEXTS})
     assert sorted(r.position for r in placed) == list(range(len(placed)))
-    assert mixing.schedule(none).count() == 0 and mixing.mix(docs).columns == docs.columns
+    assert mixing.schedule(none).count() == 0 and mixing.mix(none).count() == 0
+    clashing = docs.select("doc_id", "text", "source", *[F.lit(c).alias(c) for c in ("position", "slot", "block", "epoch", "__s", "row")])
+    once = mixing.mix(clashing, block=2, period=10, repeat=False)
+    assert once.columns == clashing.columns and sorted(map(str, once.collect())) == sorted(map(str, clashing.collect()))
+    many = spark.createDataFrame([(i, f"s{i}") for i in range(30)], "doc_id long, source string")
+    assert sorted(r.position for r in mixing.schedule(many, block=1, period=10).collect()) == list(range(30))
 
 
 def test_topk_edges(spark):
