@@ -29,7 +29,7 @@ from lodechain.llm.common import append_columns, gathered, packed, runs, sums
 
 DEFAULT_VOCAB = "byte_bpe_50k.tiktoken"
 #: Bytes of text that are taken together, and of pre-tokens that share a queue.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: A bucket of so many entries is merged part by part.
 SMALL = 20
 #: In RE2's syntax, texts in which the pattern's matches may cross the border before a space or around a newline: two of

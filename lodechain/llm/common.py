@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -17,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Bytes of the first input that a Python worker takes at once.
-AT_ONCE = 8 << 20
+AT_ONCE = 4 << 20
 
 
 def runs(column: pa.Array, size: int) -> Iterator[tuple[int, int]]:
@@ -29,6 +32,24 @@ def runs(column: pa.Array, size: int) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
+def trim() -> None:
+    """Give memory that a task no longer needs back to the system, since idle Python workers live on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, with unused memory given back at the end of each task."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return out
+
+
 def gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The runs ``at`` of ``values``, one behind the other."""
     n = lengths[at]
@@ -72,7 +93,7 @@ def append_columns(df: DataFrame, fn: Callable[[dict[str, pa.Array]], list[Itera
                 arrays = [b.column(b.schema.names.index(f.name)) for f in kept] + [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(made, types, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in kept] + [f.name for f in fields])
 
-    return df.mapInArrow(run, T.StructType(kept + fields))
+    return df.mapInArrow(trimmed(run), T.StructType(kept + fields))
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -18,6 +18,7 @@ components still differ are then joined in full. So no group of near copies is e
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodechain.llm.common import runs
+from lodechain.llm.common import runs, trimmed
 from lodechain.session import Scratch
 
 WORDS = 5
@@ -44,7 +45,7 @@ FEW = 500_000
 #: Fingerprints that a task counts at once, and bytes of text that it reads at once.
 FLUSH = 1_000_000
 AT_ONCE = 2 << 20
-#: Components of a posting that meet in one task.
+#: Sets of a posting and class of size that meet in one task.
 MEETING = 128
 #: Rounds in which each document is verified against one partner, before the rest is joined in full.
 TURNS = 2
@@ -139,7 +140,7 @@ def _sets(rows: DataFrame) -> DataFrame:
             made = [b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(made, names=["k", "doc_id", "n", "c"])
 
-    return rows.mapInArrow(run, f"k long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, n long, c binary")
+    return rows.mapInArrow(trimmed(run), f"k long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, n long, c binary")
 
 
 def _count_blobs(tokens: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
@@ -225,8 +226,8 @@ def _statistics(rows: DataFrame, scratch: Scratch) -> tuple[np.ndarray, np.ndarr
         if now is not None:
             yield row()
 
-    blobs = rows.select("t").mapInArrow(count, "r int, blob binary")
-    sums = scratch.put(blobs.repartition("r").sortWithinPartitions("r").mapInArrow(total, "r int, bits binary, fp binary, power binary, hist array<long>"))
+    blobs = rows.select("t").mapInArrow(trimmed(count), "r int, blob binary")
+    sums = scratch.put(blobs.repartition("r").sortWithinPartitions("r").mapInArrow(trimmed(total), "r int, bits binary, fp binary, power binary, hist array<long>"))
     hist = np.zeros(64, np.int64)
     for p, n in sums.select(F.posexplode("hist")).groupBy("pos").sum("col").collect():
         hist[p] = n
@@ -241,7 +242,7 @@ def _statistics(rows: DataFrame, scratch: Scratch) -> tuple[np.ndarray, np.ndarr
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in kept], pa.binary()), pa.array([x for _, x in kept], pa.binary())], names=["r", "bits", "fp", "power"])
 
     bits, fps, powers = np.zeros((RANGES, 1 << (LOW - BITS_OFF - 3)), np.uint8), [], []
-    for r in sorted(sums.mapInArrow(frequent, "r int, bits binary, fp binary, power binary").collect()):
+    for r in sorted(sums.mapInArrow(trimmed(frequent), "r int, bits binary, fp binary, power binary").collect()):
         bits[r.r] = np.frombuffer(r.bits, np.uint8)
         fps.append(np.frombuffer(r.fp, np.uint32))
         powers.append(np.frombuffer(r.power, np.uint8))
@@ -293,7 +294,7 @@ def _entries(rows: DataFrame, shared) -> DataFrame:
             made = [pa.array(np.concatenate(x) if x else [], kind) for x, kind in ((h, pa.int64()), (k, pa.int64()), (n, pa.int32()), (level, pa.int16()), (ell, pa.int16()), (power, pa.int16()), (end, pa.int64()))]
             yield pa.RecordBatch.from_arrays(made, names=["h", "k", "n", "level", "ell", "end_power", "end_hash"])
 
-    return rows.select("k", "t").mapInArrow(run, "h long, k long, n int, level short, ell short, end_power short, end_hash long")
+    return rows.select("k", "t").mapInArrow(trimmed(run), "h long, k long, n int, level short, ell short, end_power short, end_hash long")
 
 
 def _among(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -319,7 +320,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
                 yield from pa.table([p.column(0), p.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_())).to_batches()
 
     both = pairs.join(texts.withColumnsRenamed({"k": "b", "t": "tb"}), "b").join(texts.withColumnsRenamed({"k": "a", "t": "ta"}), "a")
-    return scratch.put(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
+    return scratch.put(both.select("a", "b", "ta", "tb").mapInArrow(trimmed(run), "a long, b long"))
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -377,17 +378,19 @@ def _near(members: DataFrame, turn: int) -> DataFrame:
     return _candidate(met).groupBy(F.col("k2").alias("b")).agg(F.max_by("k1", F.struct("shared", "k1")).alias("a")).select("a", "b")
 
 
-def _far(members: DataFrame, scratch: Scratch) -> DataFrame:
-    """All candidate pairs whose components differ. The components of a posting meet in blocks of ``MEETING``, so that a
-    frequent posting is dealt over many tasks."""
-    roots = members.select("h", "root").distinct()
-    blocks = F.ceil(F.count("*") / MEETING).cast("int")
-    roots = scratch.put(roots.join(members.groupBy("h").agg(blocks.alias("blocks")), "h"))
-    left = roots.select("h", F.col("root").alias("r1"), F.pmod(F.xxhash64("root"), F.col("blocks")).cast("int").alias("block"))
-    right = roots.select("h", F.col("root").alias("r2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    meets = left.join(right, ["h", "block"]).where("r1 < r2").select("h", "r1", "r2")
-    x, y = (members.withColumnsRenamed({c: f"{c}{i}" for c in _SIDE} | {"root": f"r{i}"}) for i in (1, 2))
-    return _candidate(meets.join(x, ["h", "r1"]).join(y, ["h", "r2"])).select(F.col("k1").alias("a"), F.col("k2").alias("b"))
+def _far(members: DataFrame) -> DataFrame:
+    """All candidate pairs whose components differ. Sets of a posting meet only if their sizes may agree: sizes are put
+    into classes, each 1 / t times the one before, and a set meets its own class and both neighbours. A class of a
+    frequent posting is dealt in blocks of ``MEETING`` sets over many tasks."""
+    size = F.floor(F.log(F.col("n").cast("double")) / math.log(DEN / NUM)).cast("int")
+    x = members.withColumn("class", size)
+    blocks = x.groupBy("h", "class").agg(F.ceil(F.count("*") / MEETING).cast("int").alias("blocks"))
+    left = x.join(blocks, ["h", "class"]).withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int")).drop("blocks")
+    right = members.withColumn("class", F.explode(F.array(size - 1, size, size + 1))).join(blocks, ["h", "class"])
+    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    left, right = (side.withColumnsRenamed({c: f"{c}{i}" for c in _SIDE} | {"root": f"r{i}"}) for i, side in ((1, left), (2, right)))
+    met = left.join(right, ["h", "class", "block"]).where((F.col("r1") < F.col("r2")) & _length_ok("n1", "n2"))
+    return _candidate(met).select(F.col("k1").alias("a"), F.col("k2").alias("b"))
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -421,7 +424,7 @@ def _placed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         found = _verified(_near(members, turn), alone, scratch)
         links = found if links is None else links.union(found)
         members = _known(members.drop("root"), components(links, scratch), scratch)
-    far = _verified(_far(members, scratch), alone, scratch)
+    far = _verified(_far(members), alone, scratch)
     placed = classes.join(components(links.union(far), scratch), "k", "left").withColumn("root", F.coalesce("root", "k"))
     smallest = placed.groupBy("root").agg(F.min("first").alias("first"))
     of_class = placed.drop("first").join(smallest, "root").select("c", "first")

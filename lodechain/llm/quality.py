@@ -31,7 +31,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodechain.llm.common import runs
+from lodechain.llm.common import runs, trimmed
 from lodechain.llm.tokenfile import new_folder
 from lodechain.session import Scratch
 
@@ -115,7 +115,7 @@ def alphabet(trusted: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cp", "n"])
 
-    counted = trusted.select("t").mapInArrow(run, "cp long, n long").groupBy("cp").agg(F.sum("n").alias("n"))
+    counted = trusted.select("t").mapInArrow(trimmed(run), "cp long, n long").groupBy("cp").agg(F.sum("n").alias("n"))
     own = [r.cp for r in counted.orderBy(F.col("n").desc(), "cp").limit(OWN).collect()]
     numbers = np.full(0x110000, -1, np.int16)
     numbers[own] = np.arange(3, 3 + len(own))
@@ -129,7 +129,7 @@ def _counts(trusted: DataFrame, shared) -> DataFrame:
                 g, n = np.unique(grams(group, shared.value)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n)], names=["g", "c"])
 
-    return trusted.select("t").mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+    return trusted.select("t").mapInArrow(trimmed(run), "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
 
 def _discounts(counts: DataFrame) -> tuple[float, float, float]:
@@ -271,7 +271,7 @@ def write_shards(p: DataFrame, off: DataFrame, folder: str, scratch: Scratch) ->
         if held:
             yield write()
 
-    files = scratch.put(rows.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, "shard long, path string"))
+    files = scratch.put(rows.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(trimmed(run), "shard long, path string"))
     found = dict(files.collect())
     return [found.get(s, "") for s in range(shards)]
 
@@ -316,7 +316,7 @@ def scores(rows: DataFrame, numbers: np.ndarray, paths: list[str]) -> DataFrame:
                         value[at] = read_shard(paths[s]).score(g[at])
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.exp(-np.add.reduceat(value, starts) / chars)), pa.array(chars)], names=["k", "perplexity", "chars"])
 
-    return rows.select("k", "t").mapInArrow(run, "k long, perplexity double, chars long")
+    return rows.select("k", "t").mapInArrow(trimmed(run), "k long, perplexity double, chars long")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, prior: float = 48.0, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "quality") -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodechain.llm.common import AT_ONCE, gathered, runs, sums
+from lodechain.llm.common import AT_ONCE, gathered, runs, sums, trimmed
 from lodechain.session import cut, shared_dir
 
 #: Words that a Python worker remembers before it starts anew, and the longest of them.
@@ -179,7 +179,7 @@ def write(df: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_pylist([{"part": part, "stem": stem, "dtype": enc.dtype.str, "n_docs": n, "n_tokens": at}], pa.schema([("part", pa.int32()), ("stem", pa.string()), ("dtype", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
     shared_dir(spark)
-    parts = sorted(cut(ordered.mapInArrow(run, MANIFEST)).collect())
+    parts = sorted(cut(ordered.mapInArrow(trimmed(run), MANIFEST)).collect())
     bases = np.cumsum([0] + [p.n_tokens for p in parts])
     manifest = [(*p, int(b)) for p, b in zip(parts, bases, strict=False)]
     fs, path = pyarrow.fs.FileSystem.from_uri(folder)
@@ -215,7 +215,7 @@ def read(spark: SparkSession, manifest: DataFrame, with_ids: bool = False) -> Da
                     yield pa.RecordBatch.from_arrays(made + [pa.array(raw, pa.binary())] * with_ids, schema=pa.schema(fields))
 
     spread = manifest.repartition(max(1, manifest.count()), "stem")
-    return spread.mapInArrow(run, schema)
+    return spread.mapInArrow(trimmed(run), schema)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

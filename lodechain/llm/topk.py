@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodechain.llm.common import trimmed
 from lodechain.session import Scratch, cut
 
 #: Queries in a pass are bounded by so many bytes of rotated vectors.
@@ -53,7 +54,7 @@ def rotation(vectors: DataFrame, d: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(d * d)), pa.array(m.ravel())], names=["at", "v"])
 
     m = np.zeros(d * d)
-    for r in vectors.select("x").mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
+    for r in vectors.select("x").mapInArrow(trimmed(run), "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
         m[r.at] = r.v
     return np.linalg.eigh(m.reshape(d, d))[1][:, ::-1]
 
@@ -140,7 +141,7 @@ def _search(vectors: DataFrame, is_query: Column, k: int, d: int, scratch: Scrat
                         break
             yield pa.RecordBatch.from_arrays([pa.array(ids[best.q]), pa.array(best.v, pa.int64()), pa.array(best.s, pa.int64())], names=["query_id", "vec_id", "score"])
 
-        out.append(scratch.put(ordered.select("id", "x").mapInArrow(run, FOUND)))
+        out.append(scratch.put(ordered.select("id", "x").mapInArrow(trimmed(run), FOUND)))
         shared.destroy()  # one group's queries at a time
     return out
 

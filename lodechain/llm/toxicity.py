@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodechain.llm.common import AT_ONCE, append_columns, runs
+from lodechain.llm.common import AT_ONCE, append_columns, runs, trimmed
 
 ORDERS = (2, 3, 4, 5)
 BITS = 20
@@ -143,7 +143,7 @@ def train(sample: DataFrame, max_bytes: int = 256 << 20) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([m.buckets.astype(np.int64).tobytes()]), pa.array([m.weights.astype(np.float64).tobytes()]), pa.array([m.bias])], names=["buckets", "weights", "bias"])
 
     ordered = sample.repartition(1).sortWithinPartitions("h", "k", "y", F.sha2("t", 256)).select("t", "y")
-    found = ordered.mapInArrow(run, "buckets binary, weights binary, bias double").collect()
+    found = ordered.mapInArrow(trimmed(run), "buckets binary, weights binary, bias double").collect()
     if not found:
         return fit([], [])
     return Model(np.frombuffer(found[0].buckets, np.int64), np.frombuffer(found[0].weights, np.float64), found[0].bias)
