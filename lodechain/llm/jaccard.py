@@ -12,8 +12,8 @@ goes to the tasks: the most frequent fingerprints (``MOST`` at most, with the po
 of fixed size that tells which fingerprints were seen twice. Shingles seen once come first, then those seen more often,
 then frequent ones by power; ties are in order of hash. Any order gives the same result.
 
-Components: in a few turns each document is verified against one partner, drawn from its postings; only pairs whose
-components still differ are then joined in full. So no group of near copies is expanded into all its pairs.
+Components: turn by turn each document is verified against one partner, drawn from its postings, until hardly any are
+linked; only pairs whose components still differ are then joined in full. So no group of near copies is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -47,8 +47,9 @@ FLUSH = 1_000_000
 AT_ONCE = 2 << 20
 #: Sets of a posting and class of size that meet in one task.
 MEETING = 128
-#: Rounds in which each document is verified against one partner, before the rest is joined in full.
-TURNS = 2
+#: Documents are verified against one partner each, turn by turn, until a turn links fewer than one in so many of those
+#: whose postings are still shared by several components; the rest is then joined in full.
+FEW_LINKED = 40
 
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -368,14 +369,18 @@ def _candidate(met: DataFrame) -> DataFrame:
 _SIDE = ("k", "n", "level", "ell", "end_power", "end_hash")
 
 
-def _near(members: DataFrame, turn: int) -> DataFrame:
+def _near(members: DataFrame, turn: int, scratch: Scratch) -> DataFrame:
     """One partner (a) for each row key (b) that has one. Each posting names the set that a hash of its key, different
     from turn to turn, puts first, so that similar sets mostly agree on a name; of those named for a document, outside
-    its component, that pass the multi-match test, the one that it meets most often is taken."""
-    one = F.struct(F.xxhash64("k", F.lit(turn)).alias("x"), *_SIDE, "root")
-    named = members.groupBy("h").agg(F.min(one).alias("p")).select("h", *[F.col(f"p.{c}").alias(f"{c}1") for c in _SIDE], F.col("p.root").alias("r1"))
-    met = members.withColumnsRenamed({c: f"{c}2" for c in _SIDE}).join(named, "h").where("root <> r1")
-    return _candidate(met).groupBy(F.col("k2").alias("b")).agg(F.max_by("k1", F.struct("shared", "k1")).alias("a")).select("a", "b")
+    its component and of fitting size, the one that it meets most often is proposed. The pair's shared prefix shingles
+    are then counted in full for the multi-match test."""
+    one = F.struct(F.xxhash64("k", F.lit(turn)).alias("x"), F.col("k"), F.col("n"), F.col("root"))
+    named = members.groupBy("h").agg(F.min(one).alias("p")).select("h", F.col("p.k").alias("a"), F.col("p.n").alias("pn"), F.col("p.root").alias("pr"))
+    met = members.join(named, "h").where((F.col("root") != F.col("pr")) & _length_ok("n", "pn")).groupBy("a", F.col("k").alias("b")).count()
+    pairs = scratch.put(met.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")))
+    x, y = (members.drop("root").withColumnsRenamed({c: f"{c}{i}" for c in _SIDE}) for i in (1, 2))
+    both = pairs.join(y, F.col("b") == F.col("k2")).join(x, (F.col("a") == F.col("k1")) & (y["h"] == x["h"]))
+    return _candidate(both).select(F.col("k1").alias("a"), F.col("k2").alias("b"))
 
 
 def _far(members: DataFrame) -> DataFrame:
@@ -419,11 +424,14 @@ def _placed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(_statistics(alone, scratch))
     entries = scratch.put(_entries(alone, shared))
     shared.unpersist()
-    members, links = _known(entries, None, scratch), None
-    for turn in range(TURNS):
-        found = _verified(_near(members, turn), alone, scratch)
+    members, links, turn, linked = _known(entries, None, scratch), None, 0, True
+    while linked:
+        found = _verified(_near(members, turn, scratch), alone, scratch)
         links = found if links is None else links.union(found)
-        members = _known(members.drop("root"), components(links, scratch), scratch)
+        linked = found.count() * FEW_LINKED > members.select("k").distinct().count()
+        if linked or not turn:
+            members = _known(members.drop("root"), components(links, scratch), scratch)
+        turn += 1
     far = _verified(_far(members), alone, scratch)
     placed = classes.join(components(links.union(far), scratch), "k", "left").withColumn("root", F.coalesce("root", "k"))
     smallest = placed.groupBy("root").agg(F.min("first").alias("first"))
