@@ -7,11 +7,21 @@ from pyspark.sql import functions as F
 
 from lodechain.functions.text import base64_run, basename, first_filled, ip_class, mask_numbers
 
-# Event ids of network events, markers of registry persistence, markers of obfuscation, path rewrites.
+# Event ids of network events; marks of registry persistence, of files that are noise, and of obfuscation.
 NETWORK = (3, 22, 5154, 5155, 5156, 5157, 5158)
-PERSISTENT = ("\\run", "\\services\\", "winlogon", "image file execution", "appinit", "\\shell\\open", "startup", "userinit", "scheduled", "\\policies\\", "com\\", "lsa")
-OBFUSCATED = ("-enc", "frombase64string", "iex", "invoke-expression", "-nop", "-w hidden", "downloadstring", "bypass", "char]", "-join", "replace(")
-PATHS = [(r"(?i)c:\\users\\[^\\]+\\appdata\\local\\temp\\", "[TEMP]\\\\"), (r"(?i)c:\\users\\[^\\]+\\appdata\\roaming\\", "[APPDATA]\\\\"), (r"(?i)c:\\users\\[^\\]+\\desktop\\", "[DESKTOP]\\\\"), (r"(?i)c:\\users\\[^\\]+\\", "[USERHOME]\\\\"), (r"(?i)[\w-]+\.dmp", "[DUMP].dmp"), (r"(?i)[\w-]+\.bat", "[SCRIPT].bat"), (r"(?i)[\w-]+\.ps1", "[SCRIPT].ps1"), (r"(?i)[\w-]+\.vbs", "[SCRIPT].vbs"), (r"(?i)[\w-]+\.hta", "[SCRIPT].hta")]
+PERSISTENT = (
+    "currentversion\\run", "currentversion\\runonce", "currentcontrolset\\services", "userinitmprlogonscript", "ms-settings\\shell\\open\\command", "hklm\\security",
+    "control\\lsa", "winlogon", "image file execution options", "appinit_dlls", "active setup", "policies\\explorer\\run",
+)
+NOISE_FILES = ("__psscriptpolicytest_", "moduleanalysiscache")
+OBFUSCATED = ("-enc ", "-encodedcommand", "-ec ", "frombase64string", "tobase64string", "invoke-expression", " iex ", "[convert]::", "[reflection.assembly]", "amsiutils", "amsiinitialized")
+# Rewrites of paths, in this order.
+HOME = r"(?iU)c:\\users\\[^\\]+"
+PATHS = [
+    (HOME + r"\\appdata\\local\\temp", "%TEMP%"), (HOME + r"\\appdata\\roaming", "%APPDATA%"), (HOME + r"\\desktop", r"%USERPROFILE%\\Desktop"), (HOME, "%USERPROFILE%"),
+    (r"(?iU)\b\w[\w\-.]*\.dmp\b", "[memory_dump].dmp"), (r"(?iU)\b\w[\w\-.]*\.bat\b", "[batch_script].bat"), (r"(?iU)\b\w[\w\-.]*\.ps1\b", "[powershell_script].ps1"),
+    (r"(?iU)\b\w[\w\-.]*\.vbs\b", "[vbscript].vbs"), (r"(?iU)\b\w[\w\-.]*\.hta\b", "[hta_script].hta"),
+]
 
 
 def obfuscated(c: Column) -> Column:
@@ -31,7 +41,7 @@ def sanitise_command(c: Column) -> Column:
 
 
 def sanitise_registry(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?i)HKU\\S(-\d+){7}\\", "HKCU\\\\")
+    return F.regexp_replace(c, r"(?i)HKU\\S(-\d+){7}\\", r"HKCU\\")
 
 
 def extract(members: DataFrame) -> DataFrame:
@@ -47,6 +57,7 @@ def extract(members: DataFrame) -> DataFrame:
     command = F.col("CommandLine")
     net = F.struct(first_filled(F.col("DestinationIp"), F.col("DestinationHostname")).alias("dst"), F.col("DestinationPort").try_cast("double").cast("int").alias("port"), F.when(F.col("Protocol") == "6", "TCP").when(F.col("Protocol") == "17", "UDP").otherwise(F.upper("Protocol")).alias("protocol"))
     signal = F.exists(F.array(*map(F.lit, PERSISTENT)), lambda m: F.lower("TargetObject").contains(m))
+    noise_file = F.exists(F.array(*map(F.lit, NOISE_FILES)), lambda m: F.lower("TargetFilename").contains(m))
     g = members.groupBy("group_id").agg(
         keep(eid.isin(1, 4688) & child.isNotNull(), spawn).alias("spawns"),
         keep((eid == 10) & (F.col("SourceImage") != F.col("TargetImage")), access).alias("accesses"),
@@ -55,7 +66,7 @@ def extract(members: DataFrame) -> DataFrame:
         keep(eid.isin(*NETWORK), net).alias("connections"),
         keep(eid.isin(13, 14) & signal, F.col("TargetObject")).alias("registry_signals"),
         F.count(F.when(eid.isin(13, 14) & ~signal, 1)).alias("registry_noise_count"),
-        keep(eid == 11, F.col("TargetFilename")).alias("dropped_files"),
+        keep((eid == 11) & ~noise_file, F.col("TargetFilename")).alias("dropped_files"),
         keep(eid == 23, F.col("TargetFilename")).alias("deleted_files"),
         F.max(eid.isin(1102, 104)).alias("log_cleared"),
         F.min("time").alias("first_time"), F.max("time").alias("last_time"), F.count("*").alias("n_events"),

@@ -49,7 +49,8 @@ def anchors(events: DataFrame, kind: str, specs: list[tuple[list, dict]], noise:
 
 
 def groups(anchor: DataFrame, events: DataFrame, host: str, time: str, kind: str, idx: str, supporting: list[str], before: int, after: int) -> DataFrame:
-    """One row for each anchor: all member indices, the supporting ones, and the share of supporting kinds seen."""
+    """One row for each anchor: all member indices, the number of supporting ones, and the share of supporting kinds seen to two
+    places (1.0 where no kind supports)."""
     a = anchor.select(F.col(host), F.col(idx).alias("anchor_idx"), F.col(time).alias("__at"))
     e = events.select(F.col(host), F.col(idx).alias("__i"), F.col(time).alias("__t"), F.col(kind).alias("__k"))
     near = range_join(a, e, [host], "__at", "__t", before, after)
@@ -57,7 +58,7 @@ def groups(anchor: DataFrame, events: DataFrame, host: str, time: str, kind: str
     return near.where(supports | (F.col("__i") == F.col("anchor_idx"))).groupBy("anchor_idx", host).agg(
         F.sort_array(F.collect_set("__i")).alias("all_idxs"),
         F.count(F.when(supports, 1)).alias("n_support"),
-        (F.size(F.collect_set(F.when(F.col("__k").isin(supporting), F.col("__k")))) / F.lit(max(1, len(supporting)))).alias("confidence"),
+        (F.round(F.size(F.collect_set(F.when(F.col("__k").isin(supporting), F.col("__k")))) / F.lit(len(set(supporting))), 2) if supporting else F.lit(1.0)).alias("confidence"),
     )
 
 

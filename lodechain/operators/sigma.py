@@ -46,13 +46,16 @@ def selection(spec) -> Column:
 
 
 class _Parser:
-    """Recursive descent over a condition: not binds tighter than and, and than or."""
+    """Recursive descent over a condition: not binds tighter than and, and than or. What a condition names but the rule
+    lacks is false, a missing end of a bracket is supplied, and what stands behind a whole expression is not read."""
+
+    WORD = re.compile(r"\(|\)|\b(?:and|or|not|of|them|all|\d+)\b|[A-Za-z_][\w\-*]*|\S")
 
     def __init__(self, text: str, named: dict[str, Column]):
-        self.tokens, self.named = re.findall(r"\(|\)|[^\s()]+", text), named
+        self.tokens, self.named = self.WORD.findall(text), named
 
-    def peek(self) -> str:
-        return self.tokens[0].lower() if self.tokens else ""
+    def peek(self) -> str | None:
+        return self.tokens[0] if self.tokens else None
 
     def either(self) -> Column:
         left = self.both()
@@ -74,37 +77,36 @@ class _Parser:
             return ~self.negated()
         return self.single()
 
+    def chosen(self, name: str) -> list[Column]:
+        if name == "them":
+            return list(self.named.values())
+        if "*" in name:
+            return [c for n, c in self.named.items() if fnmatch.fnmatchcase(n, name)]
+        return [self.named.get(name, F.lit(False))]
+
     def single(self) -> Column:
         if not self.tokens:
-            raise ValueError("a condition ends too early")
+            return F.lit(False)
         token = self.tokens.pop(0)
         if token == "(":
             inner = self.either()
-            if not self.tokens or self.tokens.pop(0) != ")":
-                raise ValueError("a bracket is open")
+            if self.peek() == ")":
+                self.tokens.pop(0)
             return inner
-        if self.peek() == "of" and (token.isdigit() or token.lower() in ("all", "any")):
+        if token == "all" or token.isdigit():  # any number asks for one at least
+            if self.peek() != "of" or len(self.tokens) < 2:
+                del self.tokens[: int(self.peek() == "of")]
+                return F.lit(False)
             self.tokens.pop(0)
-            pattern = self.tokens.pop(0)
-            chosen = list(self.named.values()) if pattern == "them" else [c for n, c in self.named.items() if fnmatch.fnmatchcase(n, pattern)]
-            return reduce(Column.__and__ if token.lower() == "all" else Column.__or__, chosen, F.lit(token.lower() == "all" and bool(chosen)))
-        if "*" in token:
-            return reduce(Column.__or__, [c for n, c in self.named.items() if fnmatch.fnmatchcase(n, token)], F.lit(False))
-        return self.named[token]
+            found = self.chosen(self.tokens.pop(0))
+            return reduce(Column.__and__ if token == "all" else Column.__or__, found) if found else F.lit(False)
+        return reduce(Column.__or__, self.chosen(token), F.lit(False))
 
 
 def compile_rule(rule: Rule) -> Column:
-    """The rule's predicate; false where no selection holds (also for ``not x``), and for a condition that does not
-    parse."""
-    named = {n: selection(s) for n, s in rule.detection.items()}
-    try:
-        parser = _Parser(rule.condition, named)
-        held = parser.either()
-        if parser.tokens:
-            return F.lit(False)
-    except (ValueError, KeyError, IndexError):
-        return F.lit(False)
-    return reduce(Column.__or__, named.values(), F.lit(False)) & held
+    """The rule's predicate; false where no selection holds (also for ``not x``)."""
+    named = {n: F.coalesce(selection(s), F.lit(False)) for n, s in rule.detection.items()}
+    return reduce(Column.__or__, named.values(), F.lit(False)) & _Parser(rule.condition, named).either()
 
 
 def match(events: DataFrame, rules: list[Rule], out: str = "hits", chunk: int = 100) -> DataFrame:

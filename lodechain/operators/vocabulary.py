@@ -63,8 +63,9 @@ DATA_COMPONENTS = {
 
 
 def noise_anchor(*images: str) -> Column:
-    """Whether the first filled image column names a system process."""
-    return F.lower(basename(first_filled(*[F.col(c) for c in images]))).isin(*NOISE_IMAGES)
+    """Whether any of the image columns names a system process; blank and null ones do not."""
+    one = lambda c: F.coalesce(F.lower(basename(first_filled(F.col(c)))).isin(*NOISE_IMAGES), F.lit(False))
+    return reduce(Column.__or__, map(one, images), F.lit(False))
 
 
 def log_source(source: dict) -> Column:
@@ -114,7 +115,7 @@ def object_id() -> Column:
         .when(eid == 7, s("ImageLoaded"))
         .when(eid.isin(8, 10), s("TargetImage"))
         .when(eid.isin(17, 18), s("PipeName"))
-        .when(eid.isin(4624, 4625, 4634, 4648, 4672), F.coalesce("TargetUserName", "SubjectUserName", F.lit("")))
+        .when(eid.isin(4624, 4625, 4634, 4648, 4672), F.coalesce(first_filled(F.col("TargetUserName"), F.col("SubjectUserName")), F.lit("")))
         .when(eid == 4663, s("ObjectName"))
         .when(eid == 4104, F.substring(s("ScriptBlockText"), 1, 120))
         .when(eid == 7045, s("ServiceName"))

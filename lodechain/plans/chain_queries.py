@@ -17,7 +17,7 @@ def t(spark, sf_dir, name):
 
 
 SIM = """s AS (SELECT q.vec_id AS q, c.vec_id AS c, q.label AS ql, c.label AS cl, list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS sim
-  FROM embeddings q, embeddings c WHERE q.vec_id % 25 = 0 AND c.vec_id < 200)"""
+  FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0)"""
 
 
 def all_sims(spark, sf_dir, queries="true", catalogue="true"):
@@ -29,8 +29,8 @@ def all_sims(spark, sf_dir, queries="true", catalogue="true"):
 
 
 def sims(spark, sf_dir):
-    """The vectors that ``SIM`` names, and no others: what the SQL is held against. The whole job is ``all_sims``."""
-    return all_sims(spark, sf_dir, "vec_id % 25 = 0", "vec_id < 200")
+    """The stated query set, every vector whose id is divisible by 100, against all vectors."""
+    return all_sims(spark, sf_dir, "vec_id % 100 = 0")
 
 
 @register("catalogue_topk", f"WITH {SIM}, r AS (SELECT q, c, round(sim, 4) AS sim, row_number() OVER (PARTITION BY q ORDER BY sim DESC, c) AS rank FROM s) SELECT * FROM r WHERE rank <= 5")
@@ -85,10 +85,10 @@ def reciprocal_rank(spark, sf_dir, sims=sims):
 
 @register(
     "knn_anomaly",
-    """WITH d AS (SELECT a.vec_id, sqrt(list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM embeddings a, embeddings b WHERE a.vec_id % 25 = 0 AND b.vec_id < 200 AND b.label < 5),
+    """WITH d AS (SELECT a.vec_id, sqrt(list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND b.label < 5),
     r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d) AS r FROM d) SELECT vec_id, round(avg(d), 4) AS score FROM r WHERE r <= 10 GROUP BY 1""",
 )
-def knn_anomaly(spark, sf_dir, rows="vec_id % 25 = 0", reference="vec_id < 200"):
+def knn_anomaly(spark, sf_dir, rows="vec_id % 100 = 0", reference="true"):
     v = t(spark, sf_dir, "embeddings")
     return anomaly.knn_score(v.where(rows), v.where(reference).where("label < 5"), "vec_id", "embedding").select("vec_id", F.round("score", 4).alias("score"))
 
@@ -141,14 +141,14 @@ def chats(spark, sf_dir):
 
 @register(
     "sequence_lcs",
-    """WITH RECURSIVE c AS (SELECT conv_id, list(role ORDER BY turn)[1:12] AS a, ['user', 'assistant', 'user', 'system', 'assistant', 'user'] AS b FROM conversations GROUP BY 1),
+    """WITH RECURSIVE c AS (SELECT conv_id, list(role ORDER BY turn) AS a, ['user', 'assistant', 'user', 'system', 'assistant', 'user'] AS b FROM conversations GROUP BY 1),
     dp AS (SELECT conv_id, a, b, 0 AS i, list_transform(range(7), lambda x: 0) AS prev FROM c
       UNION ALL SELECT conv_id, a, b, i + 1, (SELECT list_reduce(list_prepend([0], list_transform(range(1, 7), lambda j: [j])), lambda acc, y: list_append(acc, CASE WHEN b[y[1]] = a[i + 1] THEN prev[y[1]] + 1 ELSE greatest(prev[y[1] + 1], acc[y[1]]) END))) FROM dp WHERE i < len(a))
     SELECT conv_id, CAST(prev[7] AS INTEGER) AS lcs FROM dp WHERE i = len(a)""",
 )
 def sequence_lcs(spark, sf_dir):
     b = F.array(*map(F.lit, ("user", "assistant", "user", "system", "assistant", "user")))
-    return chats(spark, sf_dir).select("conv_id", sequence.lcs(F.slice("s", 1, 12), b).alias("lcs"))
+    return chats(spark, sf_dir).select("conv_id", sequence.lcs(F.col("s"), b).alias("lcs"))
 
 
 @register(
@@ -172,11 +172,11 @@ def order_accuracy(spark, sf_dir):
 
 @register(
     "chain_novelty",
-    """WITH o AS (SELECT o_custkey, list_sort(list(DISTINCT o_orderpriority)) AS s FROM orders WHERE o_custkey % 10 = 0 GROUP BY 1), l AS (SELECT * FROM (VALUES (0, ['1-URGENT', '2-HIGH', '3-MEDIUM']), (1, ['3-MEDIUM', '5-LOW'])) AS l(id, b)),
+    """WITH o AS (SELECT o_custkey, list_sort(list(DISTINCT o_orderpriority)) AS s FROM orders GROUP BY 1), l AS (SELECT * FROM (VALUES (0, ['1-URGENT', '2-HIGH', '3-MEDIUM']), (1, ['3-MEDIUM', '5-LOW'])) AS l(id, b)),
     j AS (SELECT o_custkey, id, len(s) AS n, len(list_intersect(s, b)) AS m FROM o, l) SELECT o_custkey, round(1 - max(m) / max(n)::DOUBLE, 4) AS novelty, arg_max(id, m * 10 - id) AS nearest FROM j GROUP BY 1""",
 )
 def chain_novelty(spark, sf_dir):
-    o = t(spark, sf_dir, "orders").where("o_custkey % 10 = 0").groupBy("o_custkey").agg(F.sort_array(F.collect_set("o_orderpriority")).alias("s"))
+    o = t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_set("o_orderpriority")).alias("s"))
     library = spark.createDataFrame([(0, ["1-URGENT", "2-HIGH", "3-MEDIUM"]), (1, ["3-MEDIUM", "5-LOW"])], "id int, b array<string>")
     j = o.crossJoin(F.broadcast(library)).withColumn("m", sequence.lcs(F.col("s"), F.col("b")))
     return j.groupBy("o_custkey").agg(F.round(1 - F.max("m") / F.max(F.size("s")), 4).alias("novelty"), F.max_by("id", F.col("m") * 10 - F.col("id")).alias("nearest"))
@@ -228,7 +228,7 @@ def tokens(spark, sf_dir):
     return t(spark, sf_dir, "benchmark").select("item_id", F.size(X.tokens(F.col("text"))).alias("n"))
 
 
-@register("ip_classes", r"SELECT doc_id, regexp_extract(text, '\d+\.\d+\.\d+\.\d+') AS ip, CASE WHEN regexp_matches(regexp_extract(text, '\d+\.\d+\.\d+\.\d+'), '^(10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)') THEN '[internal_ip]' WHEN starts_with(regexp_extract(text, '\d+\.\d+\.\d+\.\d+'), '127.') THEN 'loopback' WHEN regexp_matches(regexp_extract(text, '\d+\.\d+\.\d+\.\d+'), '^\d{1,3}(\.\d{1,3}){3}$') THEN '[external_ip]' ELSE regexp_extract(text, '\d+\.\d+\.\d+\.\d+') END AS class FROM documents WHERE regexp_matches(text, '\d+\.\d+\.\d+\.\d+')")
+@register("ip_classes", r"SELECT doc_id, regexp_extract(text, '\d+\.\d+\.\d+\.\d+') AS ip, CASE WHEN regexp_matches(regexp_extract(text, '\d+\.\d+\.\d+\.\d+'), '^(10\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)') THEN '[internal_ip]' WHEN starts_with(regexp_extract(text, '\d+\.\d+\.\d+\.\d+'), '127.') THEN '[loopback]' WHEN regexp_matches(regexp_extract(text, '\d+\.\d+\.\d+\.\d+'), '^\d+\.\d+\.\d+\.\d+$') THEN '[external_ip]' ELSE regexp_extract(text, '\d+\.\d+\.\d+\.\d+') END AS class FROM documents WHERE regexp_matches(text, '\d+\.\d+\.\d+\.\d+')")
 def ip_classes(spark, sf_dir):
     d = t(spark, sf_dir, "documents").withColumn("ip", F.regexp_extract("text", r"\d+\.\d+\.\d+\.\d+", 0)).where("ip <> ''")
     return d.select("doc_id", "ip", X.ip_class(F.col("ip")).alias("class"))
@@ -258,11 +258,11 @@ def registry_paths(spark, sf_dir):
 
 @register(
     "group_sets",
-    """WITH s AS (SELECT l_orderkey, list_distinct(list(l_partkey % 7)) AS a, list_distinct(list(l_suppkey % 7)) AS b FROM lineitem WHERE l_orderkey < 2000 GROUP BY 1)
+    """WITH s AS (SELECT l_orderkey, list_distinct(list(l_partkey % 7)) AS a, list_distinct(list(l_suppkey % 7)) AS b FROM lineitem GROUP BY 1)
     SELECT l_orderkey, len(list_distinct(list_concat(a, b)))::INTEGER AS n_union, len(list_intersect(a, b))::INTEGER AS n_both, (len(a) - len(list_intersect(a, b)))::INTEGER AS n_only, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE, 6) AS jaccard FROM s""",
 )
 def group_sets(spark, sf_dir):
-    s = t(spark, sf_dir, "lineitem").where("l_orderkey < 2000").groupBy("l_orderkey").agg(F.collect_set(F.col("l_partkey") % 7).alias("a"), F.collect_set(F.col("l_suppkey") % 7).alias("b"))
+    s = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.col("l_partkey") % 7).alias("a"), F.collect_set(F.col("l_suppkey") % 7).alias("b"))
     return s.select("l_orderkey", F.size(F.array_union("a", "b")).alias("n_union"), F.size(F.array_intersect("a", "b")).alias("n_both"), F.size(F.array_except("a", "b")).alias("n_only"), F.round(sequence.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
 
 

@@ -96,7 +96,7 @@ def merge_same_anchor(spark, sf_dir):
 
 @register(
     "merge_overlapping_groups",
-    f"""WITH RECURSIVE g AS (SELECT DISTINCT event_type AS technique, user_id * 10 + CAST(floor(value / 40) AS BIGINT) % 4 AS gid, event_id % 5 AS m FROM {E} WHERE user_id < 100),
+    f"""WITH RECURSIVE g AS (SELECT DISTINCT event_type AS technique, user_id * 10 + CAST(floor(value / 40) AS BIGINT) % 4 AS gid, event_id % 97 AS m FROM {E}),
     n AS (SELECT technique, gid, count(*) AS n FROM g GROUP BY 1, 2),
     p AS (SELECT a.technique, a.gid AS x, b.gid AS y, count(*) AS c FROM g a JOIN g b USING (technique, m) WHERE a.gid <> b.gid GROUP BY 1, 2, 3),
     ed AS (SELECT p.technique, x, y FROM p JOIN n n1 ON n1.technique = p.technique AND n1.gid = x JOIN n n2 ON n2.technique = p.technique AND n2.gid = y WHERE c >= 0.9 * (n1.n + n2.n - c)),
@@ -104,8 +104,8 @@ def merge_same_anchor(spark, sf_dir):
     SELECT technique, gid, min(node) AS root FROM r GROUP BY 1, 2""",
 )
 def merge_overlapping_groups(spark, sf_dir):
-    e = events(spark, sf_dir).where("user_id < 100")
-    g = e.groupBy(F.col("event_type").alias("technique"), (F.col("user_id") * 10 + F.floor(F.col("value") / 40) % 4).alias("g")).agg(F.collect_set(F.col("event_id") % 5).alias("m"))
+    e = events(spark, sf_dir)
+    g = e.groupBy(F.col("event_type").alias("technique"), (F.col("user_id") * 10 + F.floor(F.col("value") / 40) % 4).alias("g")).agg(F.collect_set(F.col("event_id") % 97).alias("m"))
     g = g.withColumn("gid", F.concat_ws(":", "technique", F.lpad(F.col("g").cast("string"), 8, "0")))
     out = grouping.merge_overlapping(g, "technique", "gid", "m", 0.9)
     return out.select(F.split("gid", ":")[0].alias("technique"), F.split("gid", ":")[1].cast("bigint").alias("gid"), F.split("root", ":")[1].cast("bigint").alias("root"))

@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from lodechain.operators import decode, metrics, sequence, transitions
 from lodechain.plans.registry import register
 
-PAIRS = """p AS (SELECT o_custkey AS id, list('T' || (o_orderkey % 6) || '.' || (o_orderkey % 2) ORDER BY o_orderkey)[1:6] AS a, list('T' || (o_orderkey % 5) || '.' || (o_orderkey % 3) ORDER BY o_orderkey DESC)[1:4] AS b FROM orders WHERE o_custkey < 300 GROUP BY 1)"""
+PAIRS = """p AS (SELECT o_custkey AS id, list('T' || (o_orderkey % 6) || '.' || (o_orderkey % 2) ORDER BY o_orderkey) AS a, list('T' || (o_orderkey % 5) || '.' || (o_orderkey % 3) ORDER BY o_orderkey DESC) AS b FROM orders GROUP BY 1)"""
 
 
 def pairs(spark, sf_dir):
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_custkey < 300")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     tid = lambda m, n: F.concat(F.lit("T"), (F.col("o_orderkey") % m).cast("string"), F.lit("."), (F.col("o_orderkey") % n).cast("string"))
     named = lambda n, m: F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", tid(n, m).alias("t")))), lambda x: x["t"])
     g = o.groupBy(F.col("o_custkey").alias("id")).agg(named(6, 2).alias("a"), F.reverse(named(5, 3)).alias("b"))
-    return g.select("id", F.slice("a", 1, 6).alias("a"), F.slice("b", 1, 4).alias("b"))
+    return g
 
 
 @register(

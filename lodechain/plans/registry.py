@@ -19,7 +19,7 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from lodechain.plans import chain_queries, event_queries, metric_queries  # noqa: F401
+    from lodechain.plans import chain_queries, evaluation_queries, event_queries, metric_queries  # noqa: F401
 
 
 _load()

@@ -30,9 +30,9 @@ def test_base64_run(spark, n, want):
 
 
 def test_sanitisers(spark):
-    assert one(spark, X.mask_numbers(F.col("v")), v="cmd 1234 /5678 12") == "cmd [PID] /5678 12"
+    assert one(spark, X.mask_numbers(F.col("v")), v="cmd 1234 /5678 12 -pid=4321 99.1234 777- 888.") == "cmd [PID] /5678 12 -pid=[PID] 99.[PID] 777- 888."
     assert one(spark, X.registry_path(F.col("v")), v="\\REGISTRY\\USER\\S-1-5-21\\Run") == "hkcu\\run"
-    assert one(spark, features.sanitise_path(F.col("v")), v="C:\\Users\\bo\\AppData\\Local\\Temp\\a.exe") == "[TEMP]\\a.exe"
+    assert one(spark, features.sanitise_path(F.col("v")), v="C:\\Users\\bo\\AppData\\Local\\Temp\\a.exe") == "%TEMP%\\a.exe"
     assert one(spark, X.message_pairs(F.col("v")), v="Head\nA: 1\nB=2\nA: 3\ntwo words: 4") == {"A": "3", "B": "2"}
 
 
@@ -134,7 +134,7 @@ def test_features(spark):
     rows = [
         base | {"EventID": 1, "ParentImage": "C:\\a\\cmd.exe", "Image": "C:\\b\\p.exe", "CommandLine": "p -enc AAA 1234"},
         base | {"EventID": 3, "Image": "p.exe", "DestinationIp": "10.0.0.8", "DestinationPort": "443", "Protocol": "6"},
-        base | {"EventID": 13, "TargetObject": "HKU\\S-1-5-21-1-2-3-4\\Software\\Run"},
+        base | {"EventID": 13, "TargetObject": "HKU\\S-1-5-21-1-2-3-4\\Software\\CurrentVersion\\Run"},
     ]
     import datetime
 
