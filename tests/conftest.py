@@ -1,4 +1,6 @@
 import sys
+import tempfile
+from functools import cache
 from pathlib import Path
 
 import pytest
@@ -8,8 +10,11 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from lodechain.session import local_session
 
 
-@pytest.fixture(scope="session")
-def spark(tmp_path_factory):
-    s = local_session(4, **{"spark.driver.memory": "3g", "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse"))})
-    yield s
-    s.stop()
+@cache
+def session():
+    return local_session(4, **{"spark.driver.memory": "3g", "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="warehouse-")})
+
+
+@pytest.fixture
+def spark():
+    return session()

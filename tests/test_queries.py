@@ -2,6 +2,7 @@
 
 import glob
 import os
+from functools import cache
 
 import duckdb
 import pytest
@@ -11,14 +12,19 @@ from lodechain.plans import registry
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.fixture(scope="module")
-def duck():
+@cache
+def connection():
     c = duckdb.connect()
     for p in glob.glob(f"{SF}/*.parquet"):
         c.sql(f"CREATE VIEW {os.path.basename(p)[:-8]} AS SELECT * FROM '{p}'")
     return c
 
 
+@pytest.fixture
+def duck():
+    return connection()
+
+
 def plain(v):
     return f"{v:.6g}" if isinstance(v, float) else str(v)
 

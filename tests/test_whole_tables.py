@@ -7,13 +7,13 @@ from lodechain.operators import anomaly, retrieval
 from lodechain.plans import registry
 
 
-@pytest.fixture(scope="module")
-def vectors(spark, tmp_path_factory):
+@pytest.fixture
+def vectors(spark, tmp_path):
     r = np.random.default_rng(7)
     x, label = r.normal(size=(430, 6)), r.integers(0, 9, 430)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     x = x.astype(np.float32)
-    folder = str(tmp_path_factory.mktemp("vectors"))
+    folder = str(tmp_path)
     rows = [(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label))]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
     return folder, x.astype(float), label
