@@ -14,7 +14,7 @@ from lodechain.llm import jaccard, mixing, pii, quality, queries, secrets, topk,
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.fixture(scope="module")
+@pytest.fixture
 def texts(spark):
     return {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
 
