@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodechain.functions import text as X
-from lodechain.operators import anomaly, decode, graph, grouping, retrieval, sequence, sigma, transitions
+from lodechain.operators import anomaly, chains, decode, graph, retrieval, sequence, sigma, transitions, vocabulary
 from lodechain.plans.registry import register
 
 
@@ -125,7 +125,14 @@ def keyword_signatures(spark, sf_dir):
 
 @register(
     "transition_matrix",
-    "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{r}', {w}::DOUBLE)" for a, b, r, w in transitions.matrix()) + ") AS m(source, target, rule, weight)",
+    """WITH t AS (SELECT unnest(['Reconnaissance', 'Resource Development', 'Initial Access', 'Execution', 'Persistence', 'Privilege Escalation', 'Defense Evasion', 'Credential Access', 'Discovery', 'Lateral Movement', 'Collection', 'Command and Control', 'Exfiltration', 'Impact']) AS name, unnest(range(14)) AS i),
+    x AS (SELECT a.name AS s, b.name AS t, b.i - a.i AS d, a.i AS ai, b.i AS bi, a.name IN ('Privilege Escalation', 'Defense Evasion') AS from_any, b.name IN ('Privilege Escalation', 'Defense Evasion') AS to_any,
+      a.name || '>' || b.name AS p FROM t a, t b),
+    r AS (SELECT *, CASE WHEN s = t THEN 'R1' WHEN s = 'Defense Evasion' AND t = 'Privilege Escalation' THEN 'R8A' WHEN s = 'Impact' OR (s = 'Exfiltration' AND bi <= 6) THEN 'R9'
+      WHEN p IN ('Reconnaissance>Resource Development', 'Resource Development>Initial Access', 'Initial Access>Execution', 'Execution>Persistence', 'Execution>Privilege Escalation', 'Execution>Defense Evasion', 'Execution>Credential Access', 'Persistence>Privilege Escalation', 'Privilege Escalation>Defense Evasion', 'Lateral Movement>Collection', 'Collection>Command and Control', 'Command and Control>Exfiltration', 'Exfiltration>Impact') THEN 'R2'
+      WHEN s IN ('Credential Access', 'Discovery', 'Lateral Movement') AND t IN ('Credential Access', 'Discovery', 'Lateral Movement') THEN 'R3A' WHEN s IN ('Credential Access', 'Discovery') AND t = 'Collection' THEN 'R3B'
+      WHEN NOT from_any AND to_any THEN 'R4' WHEN from_any AND NOT to_any AND d > 0 THEN 'R5' WHEN from_any AND NOT to_any THEN 'R5B' WHEN d BETWEEN 1 AND 2 THEN 'R6' WHEN d > 0 THEN 'R7' WHEN d >= -2 THEN 'R8A' ELSE 'R8B' END AS rule FROM x)
+    SELECT s AS source, t AS target, rule, CASE WHEN rule = 'R4' AND t = 'Defense Evasion' THEN 0.7 ELSE map {'R1': 0.5, 'R2': 1.0, 'R3A': 0.9, 'R3B': 0.8, 'R4': 0.8, 'R5': 0.7, 'R5B': 0.4, 'R6': 0.5, 'R7': 0.3, 'R8A': 0.1, 'R8B': 0.05, 'R9': 0.02}[rule] END::DOUBLE AS weight FROM r""",
 )
 def transition_matrix(spark, sf_dir):
     return transitions.table(spark)
@@ -182,19 +189,70 @@ def chain_novelty(spark, sf_dir):
     return j.groupBy("o_custkey").agg(F.round(1 - F.max("m") / F.max(F.size("s")), 4).alias("novelty"), F.max_by("id", F.col("m") * 10 - F.col("id")).alias("nearest"))
 
 
-@register("viterbi_chain")
+def candidate(n, p):
+    """An event's candidate: the property k names its technique and its tactic."""
+    k = F.col("k") + n
+    return F.struct(F.concat(F.lit("T"), k.cast("string")).alias("tid"), F.array(*map(F.lit, transitions.TACTICS))[k % 14].alias("tac"), F.lit(p).alias("p"))
+
+
+def event_nodes(spark, sf_dir, *candidates):
+    """Each user's whole sequence of events, an array of candidates for each."""
+    k = t(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int")).select("user_id", "event_id", F.array(*candidates).alias("c"))
+    return k.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "c"))), lambda x: x["c"]).alias("nodes"))
+
+
+def viterbi_sql(alpha, second):
+    """Best chain of two candidates an event, step by step; the weights stand by position in one list."""
+    w, rest = {(a, b): x for a, b, _, x in transitions.matrix()}, f"{1 - alpha!r}e0"
+    flat = "[" + ", ".join(str(0.5 if a == b else w[a, b]) for a in transitions.TACTICS for b in transitions.TACTICS) + "]::DOUBLE[]"
+    step = lambda frm, to, e: f"CASE WHEN w[t{frm} * 14 + {to} + 1] > 0.02 THEN v{frm} + {rest} * ln({e}) + {alpha}e0 * ln(w[t{frm} * 14 + {to} + 1]) ELSE '-infinity'::DOUBLE END"
+    ka, kb = "n.k % 14", f"(n.k + {second}) % 14"
+    pick = lambda x, y, name: f"CASE WHEN {x} > -1e9 AND {x} >= {y} THEN pa || '>T' || {name} WHEN {y} > -1e9 THEN pb || '>T' || {name} ELSE 'T' || {name} END"
+    return f"""WITH RECURSIVE e AS (SELECT user_id, json_extract_string(props, '$.k')::INTEGER AS k, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+    m AS (SELECT user_id, max(i) AS n FROM e GROUP BY 1),
+    d AS (SELECT user_id, i, k % 14 AS ta, (k + {second}) % 14 AS tb, {rest} * ln(0.6) AS va, {rest} * ln(0.3) AS vb, 'T' || k AS pa, 'T' || (k + {second}) AS pb FROM e WHERE i = 1
+      UNION ALL SELECT user_id, i, ta, tb, greatest(-1e9, xaa, xba), greatest(-1e9, xab, xbb), {pick("xaa", "xba", "k")}, {pick("xab", "xbb", f"(k + {second})")}
+      FROM (SELECT n.user_id, n.i, n.k, {ka} AS ta, {kb} AS tb, pa, pb, {step("a", ka, 0.6)} AS xaa, {step("b", ka, 0.6)} AS xba, {step("a", kb, 0.3)} AS xab, {step("b", kb, 0.3)} AS xbb
+        FROM (SELECT *, {flat} AS w FROM d) d JOIN e n ON n.user_id = d.user_id AND n.i = d.i + 1))
+    SELECT user_id, CASE WHEN vb > va THEN vb ELSE va END AS score, CASE WHEN vb > va THEN pb ELSE pa END AS path FROM d JOIN m USING (user_id) WHERE i = n"""
+
+
+@register("viterbi_chain", f"SELECT user_id, round(score, 6) AS score, path FROM ({viterbi_sql(0.5, 5)})")
 def viterbi_chain(spark, sf_dir):
-    """The best chain of each user's first twelve events; two candidates an event."""
-    e = t(spark, sf_dir, "events")
-    tactic = F.array(*map(F.lit, transitions.TACTICS))
-    cand = lambda n, p: F.struct(F.concat(F.lit("T"), (F.col("k") + n).cast("string")).alias("tid"), tactic[(F.col("k") + n) % 14].alias("tac"), F.lit(p).alias("p"))
-    k = e.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-    first = grouping.first_n(k, ["user_id"], [F.col("event_id")], 12).select("user_id", "event_id", F.array(cand(0, 0.6), cand(5, 0.3)).alias("c"))
-    seq = first.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "c"))), lambda x: x["c"]).alias("nodes"))
-    best = seq.select("user_id", decode.viterbi(F.col("nodes")).alias("b"))
+    """The best chain of each user's events; two candidates an event."""
+    best = event_nodes(spark, sf_dir, candidate(0, 0.6), candidate(5, 0.3)).select("user_id", decode.viterbi(F.col("nodes")).alias("b"))
     return best.select("user_id", F.round("b.score", 6).alias("score"), F.array_join("b.path", ">").alias("path"))
 
 
+DECODERS = {
+    "best": chains.Decoder(),
+    "skips": chains.Decoder(skip=2, barred=True),
+    "gated": chains.Decoder(gate=("sim", 0.03, 0.1, 0.5, 0.1), repeat=0.8),
+    "max_marginal": chains.Decoder("max_marginal"),
+    "sum_product": chains.Decoder("sum_product"),
+    "guarded": chains.Decoder(bypass=0.75, regret=0.05),
+}
+
+
+@register("chain_decoders")
+def chain_decoders(spark, sf_dir):
+    """Each user's whole sequence under every decoder; entities by kind of event."""
+    side = lambda i: F.create_map(*[x for tac, io in vocabulary.TACTIC_IO.items() for x in (F.lit(tac), F.array(*map(F.lit, io[i])).cast("array<string>"))])
+    inputs, outputs = side(0), side(1)
+    tactic = F.array(*map(F.lit, transitions.TACTICS))
+
+    def described(n, p):
+        tac = tactic[(F.col("k") + n) % 14]
+        return F.struct(F.concat(F.lit("T"), (F.col("k") + n).cast("string")).alias("tid"), tac.alias("tac"), (F.lit(p) + F.col("k") / 1000).alias("sim"), F.lit(p).alias("p"), inputs[tac].alias("inputs"), outputs[tac].alias("outputs"), F.lit(None).cast("array<float>").alias("vec"))
+
+    seen = F.when(F.col("event_type") == "click", F.array(F.lit("process"), F.lit("file"))).when(F.col("event_type") == "error", F.array(F.lit("process"), F.lit("user"))).otherwise(F.array(F.lit("process"), F.lit("network"), F.lit("file")))
+    node = F.struct(F.array(described(0, 0.6), described(5, 0.3), described(9, 0.1)).alias("candidates"), seen.alias("entities"), F.lit(0.1).alias("margin"))
+    e = t(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int")).select("user_id", "event_id", node.alias("c"))
+    dealt = e.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "user_id")  # decoding outweighs its input: these partitions must not be merged
+    seq = dealt.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "c"))), lambda x: x["c"]).alias("nodes"))
+    return chains.chains(seq, "user_id", "nodes", DECODERS).select("user_id", "option", "score", F.array_join(F.transform("steps", lambda s: s["tid"]), ">").alias("path"))
+
+
 @register(
     "detection_rules",
     """SELECT page_id, concat_ws(',', CASE WHEN (contains(lower(url), '/fr/') OR contains(lower(url), '/de/')) AND NOT contains(lower(html), 'track(') THEN 'r1' END,
@@ -313,14 +371,14 @@ def truth_join(spark, sf_dir):
 
 @register(
     "lineage_walk",
-    """WITH RECURSIVE ed AS (SELECT c_custkey // 2 AS p, c_custkey AS c FROM customer WHERE c_custkey >= 2), st AS (SELECT c_custkey AS s FROM customer WHERE c_custkey % 97 = 5),
+    """WITH RECURSIVE ed AS (SELECT c_custkey // 2 AS p, c_custkey AS c FROM customer WHERE c_custkey >= 2), st AS (SELECT c_custkey AS s FROM customer WHERE c_acctbal < -900),
     up AS (SELECT s, s AS n, 0 AS h FROM st UNION ALL SELECT s, p, h + 1 FROM up JOIN ed ON c = n WHERE h < 2), dn AS (SELECT s, s AS n, 0 AS h FROM st UNION ALL SELECT s, c, h + 1 FROM dn JOIN ed ON p = n WHERE h < 3)
     SELECT DISTINCT s AS start, n AS node FROM (SELECT s, n FROM up UNION ALL SELECT s, n FROM dn)""",
 )
 def lineage_walk(spark, sf_dir):
     c = t(spark, sf_dir, "customer")
     edges = c.where("c_custkey >= 2").select(F.expr("c_custkey div 2").alias("parent"), F.col("c_custkey").alias("child"))
-    return graph.bounded_walk(edges, c.where("c_custkey % 97 = 5").select(F.col("c_custkey").alias("start")))
+    return graph.bounded_walk(edges, c.where("c_acctbal < -900").select(F.col("c_custkey").alias("start")))
 
 
 @register(
@@ -335,12 +393,13 @@ def lineage_one_hop(spark, sf_dir):
 
 @register(
     "tagged_closure",
-    """WITH RECURSIVE ed AS (SELECT DISTINCT o_custkey AS a, 1000000 + o_orderkey % 3000 AS b FROM orders WHERE o_orderkey % 9 = 0), u AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed),
-    r AS (SELECT DISTINCT a AS node FROM u WHERE a < 15 UNION SELECT u.b FROM r JOIN u ON u.a = r.node) SELECT node FROM r""",
+    """WITH RECURSIVE ed AS (SELECT DISTINCT o_custkey AS a, 1000000 + o_orderkey AS b FROM orders), u AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed),
+    r AS (SELECT DISTINCT o_custkey AS node FROM orders WHERE o_totalprice > 300000 UNION SELECT u.b FROM r JOIN u ON u.a = r.node) SELECT node FROM r""",
 )
 def tagged_closure(spark, sf_dir):
-    ed = t(spark, sf_dir, "orders").where("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("a"), (1000000 + F.col("o_orderkey") % 3000).alias("b")).distinct()
-    return graph.tagged_closure(ed, ed.where("a < 15").select(F.col("a").alias("node")).distinct())
+    o = t(spark, sf_dir, "orders")
+    ed = o.select(F.col("o_custkey").alias("a"), (1000000 + F.col("o_orderkey")).alias("b")).distinct()
+    return graph.tagged_closure(ed, o.where("o_totalprice > 300000").select(F.col("o_custkey").alias("node")).distinct())
 
 
 @register(
@@ -361,7 +420,7 @@ def local_outliers(spark, sf_dir):
 
 @register("communities")
 def communities(spark, sf_dir):
-    ed = t(spark, sf_dir, "orders").where("o_orderkey % 9 = 0").select(F.col("o_custkey").alias("a"), (1000000 + F.col("o_orderkey") % 300).alias("b"))
+    ed = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), (1000000 + F.col("o_orderkey") % 300).alias("b"))
     return graph.label_communities(ed, 3)
 
 

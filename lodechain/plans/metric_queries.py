@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodechain.operators import decode, metrics, sequence, transitions
+from lodechain.operators import decode, metrics, sequence
+from lodechain.plans.chain_queries import candidate, event_nodes, viterbi_sql
 from lodechain.plans.registry import register
 
 PAIRS = """p AS (SELECT o_custkey AS id, list('T' || (o_orderkey % 6) || '.' || (o_orderkey % 2) ORDER BY o_orderkey) AS a, list('T' || (o_orderkey % 5) || '.' || (o_orderkey % 3) ORDER BY o_orderkey DESC) AS b FROM orders GROUP BY 1)"""
@@ -73,14 +74,10 @@ def rule_priority(spark, sf_dir):
     return p.withColumn("rank", F.row_number().over(w).cast("bigint")).where("rank <= 5").select("p_brand", "p_partkey", "rank")
 
 
-@register("decode_sweep")
+@register("decode_sweep", " UNION ALL ".join(f"SELECT user_id, {a}::DOUBLE AS alpha, path FROM ({viterbi_sql(a, 3)})" for a in (0.1, 0.5, 0.9)))
 def decode_sweep(spark, sf_dir):
-    """Scores of each user's first six events for several weights of the transitions, in one job."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-    tactic = F.array(*map(F.lit, transitions.TACTICS))
-    cand = lambda n, p: F.struct(F.concat(F.lit("T"), (F.col("k") + n).cast("string")).alias("tid"), tactic[(F.col("k") + n) % 14].alias("tac"), F.lit(p).alias("p"))
-    first = e.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).where("r <= 6").select("user_id", "event_id", F.array(cand(0, 0.6), cand(3, 0.3)).alias("c"))
-    seq = first.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "c"))), lambda x: x["c"]).alias("nodes"))
+    """Best chains of each user's events for several weights of the transitions, in one job."""
+    seq = event_nodes(spark, sf_dir, candidate(0, 0.6), candidate(3, 0.3))
     grid = F.array(*[F.struct(F.lit(a).alias("alpha"), F.array_join(decode.viterbi(F.col("nodes"), alpha=a)["path"], ">").alias("path")) for a in (0.1, 0.5, 0.9)])
     return seq.select("user_id", F.inline(grid))
 

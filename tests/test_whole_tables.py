@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from lodechain.operators import anomaly, retrieval
+from lodechain.operators import anomaly, graph, retrieval
 from lodechain.plans import registry
 
 
@@ -54,3 +54,19 @@ def test_all_vectors(spark, vectors, monkeypatch, most):
     d = np.sqrt(((x[:, None] - x[None, label < 5]) ** 2).sum(2))
     got = {r.vec_id: r.score for r in rows("knn_anomaly")}
     assert len(got) == n and all(abs(got[q] - np.sort(d[q])[:10].mean()) < 2e-4 for q in got)
+
+
+def test_communities(spark):
+    """Rounds of the most frequent neighbouring label, ties to the smallest."""
+    r = np.random.default_rng(3)
+    edges = [(int(a), int(b) + 100) for a, b in r.integers(0, 40, (150, 2))] + [(7, 7)]
+    near = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, []).append(b)
+            near.setdefault(b, []).append(a)
+    label = {k: k for k in near}
+    for _ in range(3):
+        label = {k: min((-sum(label[x] == v for x in xs), v) for v in {label[x] for x in xs})[1] for k, xs in near.items()}
+    got = graph.label_communities(spark.createDataFrame(edges, "a long, b long"), 3)
+    assert {x.k: x.root for x in got.collect()} == label
