@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodechain.operators.transitions import weight
+from lodechain.operators.transitions import log_weight_at, place
 
 BLOCKED = -1e9
 
@@ -17,54 +15,28 @@ def viterbi(nodes: Column, alpha: float = 0.5, blocked_at: float | None = 0.02)
 
     A node's candidate adds (1 - alpha) * log p and alpha * log of the transition weight. The first of equal paths
     wins. Transitions of weight ``blocked_at`` or less are barred; a node that nothing reaches restarts the path and
-    scores -1e9. Null for an empty sequence.
+    scores -1e9. Null for an empty sequence. Every value that is used twice is bound by a lambda, since what a lambda's
+    body repeats is computed again.
     """
-    emit = lambda c: (1 - alpha) * F.log(F.greatest(c["p"], F.lit(1e-9)))
-    state = lambda c, v, path: F.struct(c["tid"].alias("tid"), c["tac"].alias("tac"), v.alias("v"), path.alias("path"))
-    start = F.transform(nodes[0], lambda c: state(c, emit(c), F.array(c["tid"])))
+    described = lambda c: F.struct(c["tid"].alias("tid"), c["tac"].alias("tac"), place(c["tac"]).alias("at"), ((1 - alpha) * F.log(F.greatest(c["p"], F.lit(1e-9)))).alias("e"))
+    state = lambda c, v, path: F.struct(c["tac"].alias("tac"), c["at"].alias("at"), v.alias("v"), path.alias("path"))
+    found = lambda v, path: F.struct(v.alias("v"), path.alias("path"))
+    greater = lambda best, x: F.when(x["v"] > best["v"], x).otherwise(best)
+    none = F.array().cast("array<string>")
 
     def step(prev: Column, node: Column) -> Column:
         def reach(c: Column) -> Column:
-            own = state(c, F.lit(BLOCKED), F.array(c["tid"]))
-
-            def better(best: Column, p: Column) -> Column:
-                w = weight(p["tac"], c["tac"])
-                v = p["v"] + emit(c) + alpha * F.log(w)
-                ok = v > best["v"]
-                if blocked_at is not None:
-                    ok = ok & (w > blocked_at)
-                return F.when(ok, state(c, v, F.concat(p["path"], F.array(c["tid"])))).otherwise(best)
-
-            return F.aggregate(prev, own, better)
-
-        return F.transform(node, reach)
-
-    final = F.aggregate(F.slice(nodes, 2, F.greatest(F.size(nodes) - 1, F.lit(0))), start, step)
-    best = F.aggregate(F.slice(final, 2, F.greatest(F.size(final) - 1, F.lit(0))), final[0], lambda b, x: F.when(x["v"] > b["v"], x).otherwise(b))
-    return F.when(F.size(nodes) > 0, F.struct(best["v"].alias("score"), best["path"].alias("path")))
+            ways = F.transform(prev, lambda p: found(p["v"] + c["e"] + alpha * log_weight_at(p, c, blocked_at), p["path"]))
+            return F.aggregate(ways, found(F.lit(BLOCKED), none), greater, lambda b: state(c, b["v"], F.concat(b["path"], F.array(c["tid"]))))
 
+        return F.transform(F.transform(node, described), reach)
 
-def viterbi_with_skips(nodes: list[list[tuple[str, str, float]]], alpha: float = 0.5, skip: int = 2, decay: float = 0.25, barred: float | None = 0.02) -> tuple[float, list[str]]:
-    """As ``viterbi``, but a step may pass over up to ``skip`` nodes at log ``decay`` each. Runs inside
-    ``applyInPandas`` on one scenario's sequence, which the candidate caps bound."""
-    from lodechain.operators.transitions import matrix
+    def last(states: Column) -> Column:
+        first = found(F.lit(float("-inf")), none)
+        return F.aggregate(states, first, lambda b, x: greater(b, found(x["v"], x["path"])), lambda b: F.struct(b["v"].alias("score"), b["path"].alias("path")))
 
-    w = {(s, t): x for s, t, _, x in matrix()}
-    table: list[list[tuple[float, list[str]]]] = []
-    for i, node in enumerate(nodes):
-        row = []
-        for tid, tac, p in node:
-            e = (1 - alpha) * math.log(max(p, 1e-9))
-            best = (e, [tid]) if i == 0 else (BLOCKED, [tid])
-            for d in range(min(skip, i - 1) + 1 if i else 0):
-                for (v, path), (_, before, _) in zip(table[i - 1 - d], nodes[i - 1 - d], strict=True):
-                    x = 0.5 if before == tac else w.get((before, tac), 0.3)
-                    score = v + d * math.log(decay) + e + alpha * math.log(x)
-                    if (barred is None or x > barred) and score > best[0]:
-                        best = (score, [*path, tid])
-            row.append(best)
-        table.append(row)
-    return max(table[-1], key=lambda b: b[0])
+    start = F.transform(F.transform(F.get(nodes, F.lit(0)), described), lambda c: state(c, c["e"], F.array(c["tid"])))
+    return F.when(F.size(nodes) > 0, F.aggregate(F.slice(nodes, 2, F.greatest(F.size(nodes) - 1, F.lit(0))), start, step, last))
 
 
 def bypass(chosen: Column, top: Column, top_similarity: Column, least: float = 0.75) -> Column:

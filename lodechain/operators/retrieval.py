@@ -78,3 +78,31 @@ def family_boost(df: DataFrame, key: list[str], rank: str, family: str, score: s
 
 def top_k(df: DataFrame, key: list[str], order: list[Column], k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order)).cast("bigint")).where(F.col("rank") <= k)
+
+
+def mapped(scores: DataFrame, key: list[str], technique: str, k: int = 5, beta: float = 10.0, lexical_weight: float = 0.3, signature_weight: float = 0.0, signature_width: int = 10, family_step: float = 0.0, family_width: int = 10) -> DataFrame:
+    """(key, rank, technique, similarity, p, margin): the ``k`` likeliest techniques of each key.
+
+    ``scores`` has a row for each key and technique of the catalogue, with ``similarity``, ``family``, ``same_root`` and
+    ``same_tactic`` (whether the rule's own technique shares them), ``lexical`` (null for all of a key that has no
+    words) and ``strength`` (of keyword signatures). Softmax weights are raised by the rule's priors and fused with
+    lexical scores; then the first few are raised by signatures and put in order anew among themselves, and so again by
+    siblings; p is the share of what results. The margin is the lead of the first in p, 1 where it stands alone. Ties
+    go to the higher similarity, then to the smaller technique; null flags, strengths and lexical scores count as none.
+    All steps share one partitioning by key, whose rows are the catalogue's.
+    """
+    w, e = Window.partitionBy(*key), F.col("__e")
+    yes, zero = lambda c: F.coalesce(c, F.lit(False)), lambda c: F.coalesce(c, F.lit(0.0))
+    place = lambda *first: F.row_number().over(w.orderBy(*first, F.col("__e").desc(), F.col("similarity").desc(), technique))
+    s = scores.withColumn("__e", rule_prior(F.exp(beta * (F.col("similarity") - F.max("similarity").over(w))), yes(F.col("same_root")), yes(F.col("same_tactic"))))
+    s = s.withColumns({"__dense": F.max("__e").over(w), "__lexical": F.max("lexical").over(w)})
+    s = s.withColumn("__e", F.when(F.col("__lexical").isNull(), e).otherwise(fuse(e, zero(F.col("lexical")), F.col("__dense"), F.col("__lexical"), lexical_weight)))
+    s = s.withColumn("__r", place())
+    s = s.withColumn("__e", F.when(F.col("__r") <= signature_width, e * (1 + signature_weight * zero(F.col("strength")))).otherwise(e))
+    beyond = lambda width: F.when(F.col("__r") > width, F.col("__r")).otherwise(0)
+    s = s.withColumn("__r", place(beyond(signature_width)))
+    s = family_boost(s, key, "__r", "family", "__e", family_width, family_step)
+    s = s.withColumn("__r", place(beyond(family_width))).withColumn("p", e / F.sum("__e").over(w))
+    first = lambda n: F.max(F.when(F.col("__r") == n, F.col("p"))).over(w)
+    s = s.withColumn("margin", F.coalesce(first(1) - first(2), F.lit(1.0)))
+    return s.where(F.col("__r") <= k).select(*key, F.col("__r").cast("long").alias("rank"), technique, "similarity", "p", "margin")

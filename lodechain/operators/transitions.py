@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +57,19 @@ def weight(a: Column, b: Column) -> Column:
     return F.when(a == b, 0.5).otherwise(F.coalesce(known[F.concat_ws(">", a, b)], F.lit(0.3)))
 
 
+def place(tactic: Column) -> Column:
+    """Place of a tactic in kill-chain order from 1, 0 if unknown."""
+    return F.coalesce(F.array_position(F.array(*map(F.lit, TACTICS)), tactic), F.lit(0)).cast("int")
+
+
+def log_weight_at(a: Column, b: Column, barred: float | None = None) -> Column:
+    """Log of ``weight``, of two structs (tac, at) that know their tactics' places; minus infinity for weights of
+    ``barred`` or less."""
+    log = lambda w: float("-inf") if barred is not None and w <= barred else math.log(w)
+    flat = F.array(*[F.lit(log(w)) for *_, w in matrix()])
+    return F.when(a["tac"] == b["tac"], log(0.5)).when((a["at"] > 0) & (b["at"] > 0), F.get(flat, (a["at"] - 1) * 14 + b["at"] - 1)).otherwise(log(0.3))
+
+
 def causal(outputs: Column, inputs: Column, shared: Column) -> Column:
     """Share of a step's inputs that the step before gives and both groups touch."""
     return F.size(F.array_intersect(F.array_intersect(outputs, inputs), shared)) / (F.size(inputs) + 1e-6)

@@ -62,6 +62,28 @@ def family_boost(spark, sf_dir, sims=sims):
     return retrieval.family_boost(r, ["q"], "rank", "cl", "sim").select("q", "c", F.round("sim", 4).alias("score"))
 
 
+@register(
+    "technique_mapping",
+    f"""WITH {SIM}, x AS (SELECT *, cl % 5 AS family, CASE WHEN q % 300 = 0 THEN NULL ELSE (q + 7 * c) % 11 END AS lex, ((q + c) % 4) / 10.0 AS strength, exp(10 * (sim - max(sim) OVER (PARTITION BY q))) * CASE WHEN ql = cl THEN 1.15 WHEN abs(ql - cl) = 1 THEN 1.05 ELSE 1 END AS e0 FROM s),
+    y AS (SELECT *, CASE WHEN lex IS NULL THEN e0 ELSE (0.7 * e0 / max(e0) OVER (PARTITION BY q) + 0.3 * lex / max(lex) OVER (PARTITION BY q)) * max(e0) OVER (PARTITION BY q) END AS e1 FROM x),
+    r1 AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY e1 DESC, sim DESC, c) AS a FROM y), z AS (SELECT *, CASE WHEN a <= 10 THEN e1 * (1 + 0.5 * strength) ELSE e1 END AS e2 FROM r1),
+    r2 AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY greatest(a, 10), e2 DESC, sim DESC, c) AS b FROM (SELECT * REPLACE (CASE WHEN a <= 10 THEN 0 ELSE a END AS a) FROM z)),
+    f AS (SELECT *, CASE WHEN b <= 10 THEN e2 * (1 + 0.15 * (count(*) FILTER (b <= 10) OVER (PARTITION BY q, family) - 1)) ELSE e2 END AS e3 FROM r2),
+    r3 AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY CASE WHEN b <= 10 THEN 0 ELSE b END, e3 DESC, sim DESC, c) AS rank, e3 / sum(e3) OVER (PARTITION BY q) AS p FROM f),
+    m AS (SELECT *, max(p) FILTER (rank = 1) OVER (PARTITION BY q) - max(p) FILTER (rank = 2) OVER (PARTITION BY q) AS margin FROM r3)
+    SELECT q, rank, c, round(sim, 4) AS sim, round(p, 6) AS p, round(margin, 6) AS margin FROM m WHERE rank <= 5""",
+)
+def technique_mapping(spark, sf_dir, sims=sims):
+    """The whole mapping: softmax, priors, lexical fusion, signatures, families, shares and margins."""
+    q, c = F.col("q"), F.col("c")
+    s = sims(spark, sf_dir).select(
+        "q", "c", F.col("sim").alias("similarity"), (F.col("cl") % 5).alias("family"), (F.col("ql") == F.col("cl")).alias("same_root"), (F.abs(F.col("ql") - F.col("cl")) == 1).alias("same_tactic"),
+        F.when(q % 300 != 0, ((q + 7 * c) % 11).cast("double")).alias("lexical"), ((q + c) % 4 / 10).alias("strength"),
+    )
+    m = retrieval.mapped(s, ["q"], "c", signature_weight=0.5, family_step=0.15)
+    return m.select("q", "rank", "c", F.round("similarity", 4).alias("sim"), F.round("p", 6).alias("p"), F.round("margin", 6).alias("margin"))
+
+
 @register(
     "confidence_margin",
     f"WITH {SIM}, r AS (SELECT q, sim, row_number() OVER (PARTITION BY q ORDER BY sim DESC, c) AS r FROM s) SELECT q, round(max(sim) FILTER (r = 1) - max(sim) FILTER (r = 2), 5) AS margin FROM r GROUP BY q",
@@ -460,6 +482,6 @@ def ordered_merge(spark, sf_dir):
 
 
 # The whole jobs: all vectors on both sides. Too slow in SQL; tested against plain versions.
-for _query in (catalogue_topk, technique_distribution, rule_priors, family_boost, confidence_margin, reciprocal_rank, confidence_gate):
+for _query in (catalogue_topk, technique_distribution, technique_mapping, rule_priors, family_boost, confidence_margin, reciprocal_rank, confidence_gate):
     register(f"{_query.__name__}_all")(partial(_query, sims=all_sims))
 register("knn_anomaly_all")(partial(knn_anomaly, rows="true", reference="true"))

@@ -51,6 +51,22 @@ def test_all_vectors(spark, vectors, monkeypatch, most):
         f = first[label == g]
         assert got[g].n == len(f) and abs(got[g].hit1 - (f == 1).mean()) < 1e-5 and abs(got[g].mrr - np.where(f > 0, 1 / np.maximum(f, 1), 0).mean()) < 1e-5
     assert {(r.q, r.c) for r in rows("confidence_gate")} == {(q, int(o[0])) for q, o in enumerate(others) if s[q, o[0]] >= 0.35}
+    got = {(r.q, r["rank"]): r for r in rows("technique_mapping")}
+    assert len(got) == 5 * n
+    for q in range(n):
+        e, c = np.exp(10 * (s[q] - s[q].max())) * np.where(gap[q] == 0, 1.15, np.where(gap[q] == 1, 1.05, 1)), np.arange(n)
+        lexical = (q + 7 * c) % 11
+        e = e if q % 300 == 0 else (0.7 * e / e.max() + 0.3 * lexical / lexical.max()) * e.max()
+        o = sorted(c, key=lambda i: (-e[i], -s[q, i], i))
+        e[o[:10]] *= 1 + 0.5 * ((q + np.array(o[:10])) % 4) / 10
+        o[:10] = sorted(o[:10], key=lambda i: (-e[i], -s[q, i], i))
+        family = label[o[:10]] % 5
+        e[o[:10]] *= [1 + 0.15 * ((family == f).sum() - 1) for f in family]
+        o[:10] = sorted(o[:10], key=lambda i: (-e[i], -s[q, i], i))
+        p = e / e.sum()
+        for k in range(5):
+            r = got[q, k + 1]
+            assert r.c == o[k] and abs(r.p - p[o[k]]) < 1e-5 and abs(r.margin - (p[o[0]] - p[o[1]])) < 1e-5
     d = np.sqrt(((x[:, None] - x[None, label < 5]) ** 2).sum(2))
     got = {r.vec_id: r.score for r in rows("knn_anomaly")}
     assert len(got) == n and all(abs(got[q] - np.sort(d[q])[:10].mean()) < 2e-4 for q in got)
