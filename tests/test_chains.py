@@ -13,19 +13,30 @@ from lodechain.operators.vocabulary import TACTIC_IO
 KINDS = ["process", "file", "network", "user", "registry"]
 
 
+def unit(rnd):
+    angle = rnd.uniform(0, 2 * math.pi)
+    return [math.cos(angle), math.sin(angle)]
+
+
 def random_nodes(rnd, n, k=3):
-    def candidate(i):
+    def candidate(i, described):
         tac = rnd.choice([*TACTICS, "Unknown"])
         inputs, outputs = TACTIC_IO.get(tac, ((), ()))
-        return {"tid": f"T{i}{rnd.randint(0, 3)}", "tac": tac, "sim": rnd.random(), "p": rnd.uniform(0.01, 0.9), "inputs": list(inputs), "outputs": list(outputs), "vec": None}
+        return {"tid": f"T{i}{rnd.randint(0, 3)}", "tac": tac, "sim": rnd.random(), "p": rnd.uniform(0.01, 0.9), "inputs": list(inputs), "outputs": list(outputs), "vec": unit(rnd) if described else None}
+
+    def candidates(described):
+        return [candidate(i, described) for i in range(rnd.randint(1, k))]
 
-    return [{"candidates": [candidate(i) for i in range(rnd.randint(1, k))], "entities": rnd.sample(KINDS, rnd.randint(0, 5)), "margin": rnd.uniform(0, 0.3)} for _ in range(n)]
+    return [{"candidates": candidates(rnd.random() < 0.7), "entities": rnd.sample(KINDS, rnd.randint(0, 5)), "margin": rnd.uniform(0, 0.3)} for _ in range(n)]
 
 
 def factor(a, b, na, nb, o):
     """One transition by hand."""
     w = 0.5 if a["tac"] == b["tac"] else chains.RULE.get((a["tac"], b["tac"]), ("R7", 0.3))[1]
     logs, weights = [math.log(w)], [o.tactical]
+    if a["vec"] and b["vec"]:
+        logs.append(math.log(max((a["vec"][0] * b["vec"][0] + a["vec"][1] * b["vec"][1] + 1) / 2, 1e-6)))
+        weights.append(o.semantic)
     if na["entities"] and nb["entities"]:
         shared, needs = set(na["entities"]) & set(nb["entities"]), set(b["inputs"])
         logs.append(math.log(max(len(set(a["outputs"]) & needs & shared) / (len(needs) + 1e-6), 1e-6)))
