@@ -128,6 +128,40 @@ def test_jaccard(spark, texts):
     assert {tuple(r) for r in jaccard.join(df).collect()} == components(planted)
 
 
+def rows_made(spark, run):
+    """Most rows that a join or an explode of ``run`` made."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    known, most = store.executionsCount(), 0
+    run()
+    for at in range(known, store.executionsCount()):
+        e = store.executionsList().apply(at).executionId()
+        nodes, values = store.planGraph(e).allNodes(), store.executionMetrics(e)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if re.search("Join|Generate", node.name()):
+                for m in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most
+
+
+def test_jaccard_outliers_of_a_group(spark):
+    """A large group of near copies, most of them too far from all others: the joins make no number of rows that grows with
+    the square of the group's size, and sizes that differ lose no link."""
+    r, planted = np.random.default_rng(11), {}
+    for n in range(900):
+        w = [f"w{i}" for i in range(150)]
+        for j in r.choice(150, n % 7, replace=False):
+            w[j] = f"x{n}-{j}"
+        planted[n] = " ".join(w)
+    for n in range(900, 1100):  # shorter and longer ones
+        w = [f"v{i}" for i in range(150 - r.integers(40))] + [f"y{n % 5}-{i}" for i in range(r.integers(40))]
+        planted[n] = " ".join(w)
+    df, got = spark.createDataFrame([*planted.items()], "doc_id long, text string").repartition(4), set()
+    made = rows_made(spark, lambda: got.update(tuple(x) for x in jaccard.join(df).collect()))
+    assert got == components(planted)
+    assert 0 < made < 150 * len(planted)
+
+
 def test_longer_prefixes_are_chosen():
     s = np.arange(1, 101, dtype=np.uint64) << np.uint64(32)
     bits = np.full(1 << 24, 255, np.uint8)
