@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lodechain.llm import jaccard, mixing, pii, quality, queries, secrets, topk, toxicity
 
 SF = "/root/testdata/sf0.001"
@@ -162,6 +163,20 @@ def test_jaccard_outliers_of_a_group(spark):
     assert 0 < made < 150 * len(planted)
 
 
+def test_near_duplicates_stage_with_outliers(spark):
+    """The pipeline's stage keeps one of each component and makes no number of rows that grows with a group's square."""
+    r, planted = np.random.default_rng(12), {}
+    for n in range(700):
+        w = [f"w{i}" for i in range(150)]
+        for j in r.choice(150, n % 7, replace=False):
+            w[j] = f"x{n}-{j}"
+        planted[n] = " ".join(w)
+    df, got = spark.createDataFrame([*planted.items()], "doc_id long, text string").repartition(4), set()
+    made = rows_made(spark, lambda: got.update(x.doc_id for x in corpus_pipeline.drop_near_copies(spark, df, "").collect()))
+    assert got == {c for _, _, c in components(planted)}
+    assert 0 < made < 150 * len(planted)
+
+
 def test_longer_prefixes_are_chosen():
     s = np.arange(1, 101, dtype=np.uint64) << np.uint64(32)
     bits = np.full(1 << 24, 255, np.uint8)
