@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodechain.operators import grouping, perturb, sequence
-from lodechain.operators.range_join import micros, range_join
+from lodechain.operators.range_join import micros, range_join, range_join_totals
 from lodechain.plans.registry import register
 
 HOUR = 3_600_000_000
@@ -78,8 +78,7 @@ def shared_artifact_groups(spark, sf_dir):
     e = events(spark, sf_dir)
     a = e.where("event_type = 'error'").select("k", F.col("event_id").alias("anchor_idx"), F.col("t").alias("at"))
     b = e.where("event_type in ('click', 'view')").select("k", "event_id", "t")
-    near = range_join(a, b, ["k"], "at", "t", BEFORE, AFTER).where("anchor_idx <> event_id")
-    return near.groupBy("anchor_idx").agg(F.count_distinct("event_id").alias("n_linked"), F.sum("event_id").alias("id_sum"))
+    return range_join_totals(a, b, ["k"], "anchor_idx", "at", "event_id", "t", BEFORE, AFTER).select("anchor_idx", F.col("n").alias("n_linked"), F.col("total").alias("id_sum"))
 
 
 @register(
