@@ -9,6 +9,7 @@ from lodechain.plans import registry
 #: Queries whose plan must not make a row for each pair.
 NAMES = [
     "catalogue_topk_all",
+    "confidence_gate_all",
 ]
 
 
