@@ -10,6 +10,7 @@ from lodechain.plans import registry
 NAMES = [
     "catalogue_topk_all",
     "confidence_gate_all",
+    "confidence_margin_all",
 ]
 
 
