@@ -11,6 +11,7 @@ NAMES = [
     "catalogue_topk_all",
     "confidence_gate_all",
     "confidence_margin_all",
+    "family_boost_all",
 ]
 
 
