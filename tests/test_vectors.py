@@ -12,6 +12,7 @@ NAMES = [
     "confidence_gate_all",
     "confidence_margin_all",
     "family_boost_all",
+    "knn_anomaly_all",
 ]
 
 
