@@ -13,6 +13,7 @@ NAMES = [
     "confidence_margin_all",
     "family_boost_all",
     "knn_anomaly_all",
+    "reciprocal_rank_all",
 ]
 
 
