@@ -14,6 +14,7 @@ NAMES = [
     "family_boost_all",
     "knn_anomaly_all",
     "reciprocal_rank_all",
+    "rule_priors_all",
 ]
 
 
