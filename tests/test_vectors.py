@@ -15,6 +15,7 @@ NAMES = [
     "knn_anomaly_all",
     "reciprocal_rank_all",
     "rule_priors_all",
+    "technique_mapping_all",
 ]
 
 
