@@ -17,6 +17,7 @@ NAMES = [
     "rule_priors_all",
     "technique_mapping_all",
     "confidence_margin",
+    "confidence_gate",
 ]
 
 
