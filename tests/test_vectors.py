@@ -18,6 +18,7 @@ NAMES = [
     "technique_mapping_all",
     "confidence_margin",
     "confidence_gate",
+    "rule_priors",
 ]
 
 
