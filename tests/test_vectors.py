@@ -19,6 +19,7 @@ NAMES = [
     "confidence_margin",
     "confidence_gate",
     "rule_priors",
+    "catalogue_topk",
 ]
 
 
