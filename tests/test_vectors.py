@@ -21,6 +21,7 @@ NAMES = [
     "rule_priors",
     "catalogue_topk",
     "technique_mapping",
+    "reciprocal_rank",
 ]
 
 
