@@ -22,6 +22,7 @@ NAMES = [
     "catalogue_topk",
     "technique_mapping",
     "reciprocal_rank",
+    "family_boost",
 ]
 
 
