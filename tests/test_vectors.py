@@ -23,6 +23,7 @@ NAMES = [
     "technique_mapping",
     "reciprocal_rank",
     "family_boost",
+    "knn_anomaly",
 ]
 
 
