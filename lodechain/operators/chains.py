@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import copy
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from lodechain.operators.decode import BLOCKED
 from lodechain.operators.transitions import TACTICS, matrix
 
 FLOOR = 1e-6
+#: Nodes whose transitions are made at once.
+AT_ONCE = 4096
 RULE = {(s, t): (r, w) for s, t, r, w in matrix()}
 _AT = {name: i for i, name in enumerate(TACTICS)}
 _WEIGHT = np.full((15, 15), 0.3)
@@ -56,7 +60,8 @@ class Decoder:
 
 
 class _Sequence:
-    """One sequence's nodes as arrays, and the transitions between any two of them."""
+    """One sequence's nodes as arrays, and the transitions between any two of them. Decoders of one beam share them (``under``);
+    transitions between all nodes and those at one distance behind them are made at once."""
 
     def __init__(self, nodes: list[dict] | None, o: Decoder):
         self.o, self.made = o, {}
@@ -76,35 +81,70 @@ class _Sequence:
         self.inputs, self.outputs = ([np.array([flags(c[s]) for c in cs]) for _, _, cs in self.nodes] for s in ("inputs", "outputs"))
         likely = lambda c: c["sim"] if c["p"] is None else c["p"]
         self.emission = [np.array([math.log(max(likely(c) or 0.0, 1e-9)) for c in cs]) for _, _, cs in self.nodes]
+        self.width = max(map(len, self.tid), default=0)
+        self.log_decay = math.log(max(o.decay, FLOOR))
         self.vec = [np.array([c["vec"] for c in cs], float) if all(c["vec"] for c in cs) else None for _, _, cs in self.nodes]
 
-    def fused(self, s: int, t: int) -> np.ndarray:
-        """Weighted geometric mean of the factors for each pair of candidates of nodes ``s`` and ``t``."""
-        if (s, t) not in self.made:
-            o, a, b = self.o, self.tac[s][:, None], self.tac[t]
-            w = np.maximum(np.where(a == b, 0.5, _WEIGHT[np.minimum(a, 14), np.minimum(b, 14)]), FLOOR)
-            total, log = np.full(len(b), o.tactical), o.tactical * np.log(w)
-            if self.vec[s] is not None and self.vec[t] is not None:
-                near = np.clip((self.vec[s] @ self.vec[t].T + 1) / 2, FLOOR, 1)
-                total, log = total + o.semantic, log + o.semantic * np.log(near)
-            if self.seen[s].any() and self.seen[t].any():
-                shared, needs = self.seen[s] * self.seen[t], self.inputs[t].sum(1)
-                given = np.maximum((self.outputs[s] * shared) @ self.inputs[t].T / (needs + FLOOR), FLOOR)
-                cover = shared.sum() / np.maximum(needs, 1)
-                wc = o.causal * np.where(cover < o.sparse, cover / o.sparse, 1.0)
-                total, log = total + wc, log + wc * np.log(given)
-            out = np.where(total < FLOOR, w, np.exp(log / np.maximum(total, FLOOR)))
-            self.made[s, t] = np.where(self.tid[s][:, None] == self.tid[t], out * o.repeat, out)
-        return self.made[s, t]
-
-    def log(self, s: int, t: int) -> np.ndarray:
-        return np.log(np.maximum(self.fused(s, t), FLOOR))
-
-    def open_log(self, s: int, t: int) -> np.ndarray:
-        """As ``log``, with barred steps at minus infinity."""
-        if not self.o.barred:
-            return self.log(s, t)
-        return np.where(_BARRED[np.minimum(self.tac[s][:, None], 14), np.minimum(self.tac[t], 14)], -np.inf, self.log(s, t))
+    def under(self, o: Decoder) -> _Sequence:
+        """The same sequence for another decoder of the same beam."""
+        q = copy.copy(self)
+        q.o, q.log_decay = o, math.log(max(o.decay, FLOOR))
+        return q
+
+    def padded(self) -> tuple[np.ndarray, ...]:
+        """Tactics, techniques, inputs and outputs of all candidates, entities of all nodes; missing candidates are zeros."""
+
+        def whole(parts: list[np.ndarray]) -> np.ndarray:
+            out = np.zeros((len(parts), self.width, *parts[0].shape[1:]), parts[0].dtype)
+            for row, x in zip(out, parts, strict=True):
+                row[: len(x)] = x
+            return out
+
+        if "padded" not in self.made:
+            self.made["padded"] = whole(self.tac), whole(self.tid), whole(self.inputs), whole(self.outputs), np.array(self.seen)
+        return self.made["padded"]
+
+    def weights(self, gap: int) -> np.ndarray:
+        """Weighted geometric mean of the factors for each pair of candidates of each node s and of node s + ``gap``."""
+        o = self.o
+        key = ("weights", gap, o.tactical, o.semantic, o.causal, o.sparse, o.repeat)
+        if key not in self.made:
+            parts = [self._weights(lo, min(lo + AT_ONCE, len(self.nodes) - gap), gap) for lo in range(0, len(self.nodes) - gap, AT_ONCE)]
+            self.made[key] = np.concatenate(parts)
+        return self.made[key]
+
+    def _weights(self, lo: int, hi: int, gap: int) -> np.ndarray:
+        o, (tac, tid, inputs, outputs, seen) = self.o, self.padded()
+        s, t = slice(lo, hi), slice(lo + gap, hi + gap)
+        a, b = tac[s][:, :, None], tac[t][:, None]
+        w = np.maximum(np.where(a == b, 0.5, _WEIGHT[np.minimum(a, 14), np.minimum(b, 14)]), FLOOR)
+        total, log = np.full((hi - lo, 1, self.width), o.tactical), o.tactical * np.log(w)
+        for i in range(lo, hi):
+            if self.vec[i] is not None and self.vec[i + gap] is not None:
+                near = np.clip((self.vec[i] @ self.vec[i + gap].T + 1) / 2, FLOOR, 1)
+                total[i - lo] += o.semantic
+                log[i - lo, : len(near), : near.shape[1]] += o.semantic * np.log(near)
+        both = seen[s].any(1) & seen[t].any(1)
+        if both.any():
+            shared, needs = seen[s] * seen[t], inputs[t].sum(2)
+            given = np.maximum((outputs[s] * shared[:, None]) @ inputs[t].transpose(0, 2, 1) / (needs + FLOOR)[:, None], FLOOR)
+            cover = shared.sum(1)[:, None] / np.maximum(needs, 1)
+            wc = np.where(both[:, None], o.causal * np.where(cover < o.sparse, cover / o.sparse, 1.0), 0.0)[:, None]
+            total, log = total + wc, log + wc * np.log(given)
+        out = np.where(total < FLOOR, w, np.exp(log / np.maximum(total, FLOOR)))
+        return np.where(tid[s][:, :, None] == tid[t][:, None], out * o.repeat, out)
+
+    def logs(self, gap: int, barred: bool) -> list:
+        """Logs of ``weights`` as lists; barred steps at minus infinity if asked for."""
+        o = self.o
+        key = ("logs", gap, barred, o.tactical, o.semantic, o.causal, o.sparse, o.repeat)
+        if key not in self.made:
+            x = np.log(np.maximum(self.weights(gap), FLOOR))
+            if barred:
+                tac = np.minimum(self.padded()[0], 14)
+                x = np.where(_BARRED[tac[:-gap][:, :, None], tac[gap:][:, None]], -np.inf, x)
+            self.made[key] = x.tolist()
+        return self.made[key]
 
     def alpha(self, t: int) -> float:
         o = self.o
@@ -116,41 +156,43 @@ class _Sequence:
         return below if m < low else above if m > high else o.alpha
 
 
-def _collected(v: np.ndarray, total: bool) -> np.ndarray:
-    """Greatest value of each column, or the log of the sum of exponentials; columns that nothing reaches are blocked."""
-    v = np.where(v > BLOCKED, v, -np.inf)
-    top = v.max(0)
-    reached = top > BLOCKED
-    if total:
-        with np.errstate(invalid="ignore"):
-            top = np.where(reached, top + np.log(np.exp(v - np.where(reached, top, 0)).sum(0)), top)
-    return np.where(reached, top, BLOCKED)
+def _collected(v: list[float], total: bool) -> float:
+    """The greatest value, or the log of the sum of exponentials; blocked where nothing reaches."""
+    top = max(v)
+    if top <= BLOCKED:
+        return BLOCKED
+    return top + math.log(sum(math.exp(x - top) for x in v if x > BLOCKED)) if total else top
 
 
 def _forward(q: _Sequence, total: bool):
     """Score of each candidate as the end of a path, and (node, candidate) before it, None where nothing leads there."""
-    score, back = [(1 - q.alpha(0)) * q.emission[0]], [[None] * len(q.emission[0])]
-    for t in range(1, len(q.nodes)):
-        a, parts, origin = q.alpha(t), [], []
-        for d in range(min(q.o.skip, t - 1) + 1):
-            s = t - 1 - d
-            parts.append(score[s][:, None] + d * math.log(max(q.o.decay, FLOOR)) + (1 - a) * q.emission[t] + a * q.open_log(s, t))
-            origin += [(s, i) for i in range(len(score[s]))]
-        v = np.concatenate(parts)
-        score.append(_collected(v, total))
-        back.append([origin[i] if x > BLOCKED else None for i, x in zip(v.argmax(0), v.max(0), strict=True)])
+    emission = [e.tolist() for e in q.emission]
+    first = 1 - q.alpha(0)
+    score, back = [[first * e for e in emission[0]]], [[None] * len(emission[0])]
+    logs = [q.logs(d + 1, q.o.barred) for d in range(min(q.o.skip, len(emission) - 2) + 1)] if len(emission) > 1 else []
+    for t in range(1, len(emission)):
+        a = q.alpha(t)
+        ways = [(t - 1 - d, i, x + d * q.log_decay, logs[d][t - 1 - d][i]) for d in range(min(q.o.skip, t - 1) + 1) for i, x in enumerate(score[t - 1 - d])]
+        scores, before = [], []
+        for j, e in enumerate(emission[t]):
+            e = (1 - a) * e
+            v = [x + e + a * log[j] for _, _, x, log in ways]
+            top = max(v)
+            scores.append(_collected(v, total))
+            before.append(ways[v.index(top)][:2] if top > BLOCKED else None)
+        score.append(scores)
+        back.append(before)
     return score, back
 
 
 def _backward(q: _Sequence, total: bool):
-    n, score = len(q.nodes), [np.zeros(0)] * len(q.nodes)
-    score[-1] = np.zeros(len(q.emission[-1]))
+    emission, n, a = [e.tolist() for e in q.emission], len(q.nodes), q.o.alpha
+    logs = [q.logs(d + 1, q.o.barred) for d in range(min(q.o.skip, n - 2) + 1)] if n > 1 else []
+    score = [[]] * n
+    score[-1] = [0.0] * len(emission[-1])
     for s in range(n - 2, -1, -1):
-        parts = []
-        for d in range(min(q.o.skip, n - 2 - s) + 1):
-            t = s + 1 + d
-            parts.append((score[t] + d * math.log(max(q.o.decay, FLOOR)) + (1 - q.o.alpha) * q.emission[t] + q.o.alpha * q.open_log(s, t)).T)
-        score[s] = _collected(np.concatenate(parts), total)
+        ways = [(x + d * q.log_decay + (1 - a) * e, logs[d][s], j) for d in range(min(q.o.skip, n - 2 - s) + 1) for j, (x, e) in enumerate(zip(score[s + 1 + d], emission[s + 1 + d], strict=True))]
+        score[s] = [_collected([x + a * log[i][j] for x, log, j in ways], total) for i in range(len(emission[s]))]
     return score
 
 
@@ -159,15 +201,15 @@ def _path(q: _Sequence) -> tuple[float, list[tuple[int, int]]]:
     total = q.o.method == "sum_product"
     forward, back = _forward(q, total)
     if q.o.method == "viterbi":
-        at = (len(q.nodes) - 1, int(forward[-1].argmax()))
-        best, path = float(forward[-1][at[1]]), []
+        at = (len(q.nodes) - 1, forward[-1].index(max(forward[-1])))
+        best, path = forward[-1][at[1]], []
         while at is not None:
             path.append(at)
             at = back[at[0]][at[1]]
         return best, path[::-1]
-    marginal = [f + b for f, b in zip(forward, _backward(q, total), strict=True)]
-    tops = [float(m.max()) for m in marginal]
-    return max(0.0, *(x for x in tops if x > BLOCKED), 0.0), [(s, int(m.argmax()) if m.max() > BLOCKED else 0) for s, m in enumerate(marginal)]
+    marginal = [[x + y for x, y in zip(f, b, strict=True)] for f, b in zip(forward, _backward(q, total), strict=True)]
+    tops = [max(m) for m in marginal]
+    return max(0.0, *(x for x in tops if x > BLOCKED), 0.0), [(s, m.index(top) if top > BLOCKED else 0) for s, (m, top) in enumerate(zip(marginal, tops, strict=True))]
 
 
 def _guarded(q: _Sequence, path: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -183,7 +225,7 @@ def _guarded(q: _Sequence, path: list[tuple[int, int]]) -> list[tuple[int, int]]
             if i and s == 0:
                 i = 0 if lost > o.regret else i
             elif i:
-                step = q.log(s - 1, s)[kept[-1][1]]
+                step = q.logs(1, False)[s - 1][kept[-1][1]]
                 i = 0 if o.alpha * (step[i] - step[0]) - (1 - o.alpha) * lost <= o.regret else i
             kept.append((s, i))
         path = kept
@@ -192,23 +234,51 @@ def _guarded(q: _Sequence, path: list[tuple[int, int]]) -> list[tuple[int, int]]
 
 def decoded(nodes: list[dict] | None, o: Decoder) -> tuple[float, list[dict]] | tuple[None, None]:
     """Score and steps of one sequence; (None, None) without candidates."""
-    q = _Sequence(nodes, o)
+    return _decoded(_Sequence(nodes, o))
+
+
+def _decoded(q: _Sequence) -> tuple[float, list[dict]] | tuple[None, None]:
     if not q.nodes:
         return None, None
     score, path = _path(q)
+    weights = {g: q.weights(g) for g in {s - r for (r, _), (s, _) in zip(path, path[1:])}}
     path, steps = _guarded(q, path), []
     for n, (s, i) in enumerate(path):
         c = q.nodes[s][2][i]
         step = {"step": n + 1, "node": q.nodes[s][0], "tid": c["tid"], "tac": c["tac"], "log_emission": round(float(q.emission[s][i]), 4), "skip": 0}
         if n:
             r, j = path[n - 1]
-            before, w = q.nodes[r][2][j]["tac"], float(q.fused(r, s)[j, i])
+            before, w = q.nodes[r][2][j]["tac"], float(weights[s - r][r, j, i])
             rule = "R1" if before == c["tac"] else RULE.get((before, c["tac"]), ("R7",))[0]
             step |= {"tac_from": before, "weight": round(w, 4), "rule": rule, "log_transition": round(math.log(max(w, FLOOR)), 4), "skip": s - r - 1}
         steps.append(step)
     return round(score, 4), steps
 
 
+def _plain(x: pa.Array) -> list:
+    """Python values of nested lists and structs; as ``to_pylist``, but not one scalar after the other."""
+    if pa.types.is_list(x.type):
+        flat, ends = _plain(x.flatten()), np.cumsum(pc.list_value_length(x).fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+        out = [flat[lo:hi] for lo, hi in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+    elif pa.types.is_struct(x.type):
+        names = [f.name for f in x.type]
+        out = [dict(zip(names, row, strict=True)) for row in zip(*map(_plain, x.flatten()), strict=True)]
+    else:
+        return x.to_pylist() if x.null_count and not pa.types.is_string(x.type) else x.to_numpy(zero_copy_only=False).tolist()
+    if x.null_count:
+        out = [None if gone else v for v, gone in zip(out, x.is_null().to_pylist(), strict=True)]
+    return out
+
+
+def _packed(steps: list[list[dict] | None], kind: pa.DataType) -> pa.Array:
+    """Steps as an array of ``kind``, field by field."""
+    flat = [x for s in steps for x in s or ()]
+    fields = [pa.array([x.get(f.name) for x in flat], f.type) for f in kind.value_type]
+    ends = np.cumsum([0, *(len(s or ()) for s in steps)])
+    offsets = pa.array(ends, pa.int32(), mask=np.array([*(s is None for s in steps), False]))
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, fields=list(kind.value_type)))
+
+
 def chains(rows: DataFrame, by: str, nodes: str, options: dict[str, Decoder]) -> DataFrame:
     """(by, option, score, steps) of each sequence and each named option, all in one pass.
 
@@ -222,16 +292,18 @@ def chains(rows: DataFrame, by: str, nodes: str, options: dict[str, Decoder]) ->
     kind = rows.schema[by].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = None
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part, out = b.slice(at, 64), []
-                schema = schema or pa.schema([("k", part.schema.field(0).type), ("option", pa.string()), ("score", pa.float64()), ("steps", arrow_steps)])
-                for key, ns in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for ns in _plain(part.column(1)):
+                    made: dict[int, _Sequence] = {}
                     for name, o in options.items():
-                        score, steps = decoded(ns, o)
-                        out.append({"k": key, "option": name, "score": score, "steps": steps})
-                yield pa.RecordBatch.from_pylist(out, schema)
+                        q = made.setdefault(o.beam, made.get(o.beam) or _Sequence(ns, o)).under(o)
+                        score, steps = _decoded(q)
+                        out.append((name, score, steps))
+                names, scores, steps = zip(*out, strict=True)
+                keys = part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), len(options))))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(names), pa.array(scores, pa.float64()), _packed(steps, arrow_steps)], names=["k", "option", "score", "steps"])
 
     arrow_steps = pa.list_(pa.struct([("step", pa.int32()), ("node", pa.int32()), ("tid", pa.string()), ("tac", pa.string()), ("log_emission", pa.float64()), ("tac_from", pa.string()), ("weight", pa.float64()), ("rule", pa.string()), ("log_transition", pa.float64()), ("skip", pa.int32())]))
     found = rows.select(F.col(by).alias("k"), F.col(nodes).cast(NODES).alias("n")).mapInArrow(run, f"k {kind.simpleString()}, option string, score double, steps {STEPS}")
