@@ -24,6 +24,7 @@ NAMES = [
     "reciprocal_rank",
     "family_boost",
     "knn_anomaly",
+    "technique_distribution_all",
 ]
 
 
