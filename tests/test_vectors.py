@@ -25,6 +25,7 @@ NAMES = [
     "family_boost",
     "knn_anomaly",
     "technique_distribution_all",
+    "technique_distribution",
 ]
 
 
